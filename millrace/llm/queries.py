@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import lexicon, neardup, packing
 from .common import read
 
 
@@ -13,6 +13,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode_decode(read(spark, sf_dir, "documents"))
+
+
 def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_matrix(read(spark, sf_dir, "documents"))
     return rows.withColumn("ids_crc32", F.crc32("ids")).withColumn("positions_crc32", F.crc32("position_ids")).drop("ids", "position_ids")
@@ -20,6 +28,8 @@ def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_bpe_lexicon": op7_bpe_lexicon,
     "op10_token_matrix": op10_token_matrix,
 }
 
