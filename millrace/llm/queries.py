@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lexicon, neardup, packing
+from . import fingerprints, lexicon, neardup, packing, rules
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_matrix(read(spark, sf_dir, "documents"))
     return rows.withColumn("ids_crc32", F.crc32("ids")).withColumn("positions_crc32", F.crc32("position_ids")).drop("ids", "position_ids")
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_matrix": op10_token_matrix,
 }
 
