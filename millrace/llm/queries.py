@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lexicon, neardup, packing, rules
+from . import fingerprints, lexicon, neardup, packing, pii, rules
 from .common import read
 
 
@@ -17,6 +17,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_private_data": op3_private_data,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op9_quality_rules": op9_quality_rules,

@@ -25,7 +25,7 @@ COMMON_WORDS = 24
 MIN_REFERENCE_DOCS = 20
 MIN_CHARS = 200
 MIN_WORDS = 50
-MAX_CLASS_DISTANCE = 0.28
+MAX_CLASS_DISTANCE = 0.31
 MAX_WORD_DISTANCE = 0.50
 CLASS_NAMES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_ascii", "other")
 
