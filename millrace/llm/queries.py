@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lexicon, neardup, packing, pii, rules
+from . import fingerprints, lexicon, neardup, packing, pii, rules, warc
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(read(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_private_data": op3_private_data,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
+    "op8_warc_index": op8_warc_index,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_matrix": op10_token_matrix,
 }
