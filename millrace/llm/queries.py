@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, lexicon, neardup, packing, pii, rules, warc
+from . import classifier, fingerprints, lexicon, lines, neardup, packing, pii, rules, warc
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_private_data": op3_private_data,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
