@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .rules import CLASS_NAMES, SPACE, class_counts, repeat_words
+from .rules import CLASS_NAMES, SPACE, class_counts, with_repeat_words
 
 MAX_TRAINING_ROWS = 20_000
 TREES = 20
@@ -39,7 +39,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
     rows = docs.withColumns({"_text": text, "_words": words, "_lines": lines})
-    rows = rows.withColumns({"_classes": class_counts(F.col("_text")), "_repeat": repeat_words("_words"), "_distinct": F.size(F.array_distinct("_words"))})
+    rows = rows.withColumns({"_classes": class_counts(F.col("_text")), "_distinct": F.size(F.array_distinct("_words"))})
+    rows = with_repeat_words(rows, "_words", "_repeat")
     n_chars, n_words, n_lines = F.char_length("_text"), F.size("_words"), F.size("_lines")
 
     def share(part: Column, whole: Column) -> Column:

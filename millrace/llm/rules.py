@@ -63,15 +63,15 @@ def with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_lang": F.coalesce("lang", F.lit("")), "_words": words})
 
 
-def repeat_words(words: str) -> Column:
-    """How many words stand in a window of three that the text has twice or more."""
+def with_repeat_words(rows: DataFrame, words: str, name: str) -> DataFrame:
+    """Add how many words stand in a window of three that the text has twice or more."""
     n = F.size(words)
     last = F.greatest(n - 2, F.lit(1))
     threes = F.transform(F.slice(words, 1, last), lambda w, i: F.struct(F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)).alias("h"), i.alias("i")))
-    ordered = F.array_sort(threes)
-    twice = F.filter(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(last - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull())
+    rows = rows.withColumn("_ordered", F.when(n >= 3, F.array_sort(threes)))
+    twice = F.filter(F.zip_with("_ordered", F.slice("_ordered", 2, F.greatest(last - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull())
     places = F.flatten(F.transform(F.array_distinct(F.flatten(twice)), lambda i: F.array(i, i + 1, i + 2)))
-    return F.when(n < 3, 0).otherwise(F.size(F.array_distinct(places))).cast("long")
+    return rows.withColumn(name, F.when(n < 3, 0).otherwise(F.size(F.array_distinct(places))).cast("long")).drop("_ordered")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
@@ -84,9 +84,9 @@ def base_columns(rows: DataFrame) -> DataFrame:
             "word_chars": F.char_length(F.regexp_replace(text, SPACE, "")).cast("long"),
             "n_symbols": count_of(text, SYMBOLS),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words("_words"),
         }
     )
+    rows = with_repeat_words(rows, "_words", "n_repeat_words")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).drop("_lines")
 
 
@@ -127,7 +127,8 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     n = F.col("n_words")
     rows = rows.withColumns({"_classes": class_counts(F.col("_text")), "_lowered": F.transform("_words", F.lower)})
     counts = F.transform("common", lambda c: F.size(F.filter("_lowered", lambda w: w == c)))
-    rows = rows.withColumn("_counts", counts).withColumn("_found", F.aggregate("_counts", F.lit(0), lambda a, x: a + x))
+    # Named twice, ``_lowered`` stays a column of its own: inlined, it would be made anew for every common word.
+    rows = rows.withColumn("_counts", F.when(F.size("_lowered") >= 0, counts)).withColumn("_found", F.aggregate("_counts", F.lit(0), lambda a, x: a + x))
     chars = F.char_length("_text")
     classes = F.transform("_classes", lambda x: x / chars)
     words = F.concat(F.transform("_counts", lambda x: x / n), F.array((n - F.col("_found")) / n))
@@ -139,7 +140,10 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     )
     diverges = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     helpers = ["_text", "_words", "_lang", "_lowered", "_classes", "_counts", "_found", "class_ref", "common", "word_ref"]
-    return rows.withColumn("kept", ~(F.col("base_failed") | diverges)).drop(*helpers)
+    judged = rows.withColumn("kept", ~(F.col("base_failed") | diverges)).drop(*helpers)
+    # The counts are for monitoring. They also keep a filter on ``kept`` above the columns that it
+    # needs: pushed below them, its condition would repeat each statistic wherever it is named.
+    return judged.observe("quality_rules", F.count(F.lit(1)).alias("documents"), F.count_if("kept").alias("kept"))
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
