@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import evidence, graph, metrics, relational, retrieval
+from .operators import chunking, evidence, graph, metrics, relational, retrieval, statistics
+from .plans import staged
+from .sources import readers, sinks
 
 QUERY_STEP = 100
 
@@ -239,6 +241,60 @@ def stale_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+# Plans and procedures
+
+
+def first_stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged.first_stage(asked(spark, sf_dir), table(spark, sf_dir, "documents"), 20)
+
+
+def staged_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged.staged(asked(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, _ = _by_method(spark, sf_dir)
+    return staged.rank_table(ranked, ["longest", "newest", "shortest"])
+
+
+def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.boundary_chunks(table(spark, sf_dir, "documents"))
+    return chunks.select("doc_id", "chunk", "token_start", "token_end", F.sha1("text").alias("text_sha1"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, qrels = _by_method(spark, sf_dir)
+    return metrics.ranking_metrics(ranked, qrels, by=["query_id", "method"])
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.bootstrap(_scores(spark, sf_dir), "ndcg")
+
+
+def paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.sign_flip(_scores(spark, sf_dir), "ndcg")
+
+
+def ridge_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sized = docs.select("doc_id", F.log1p(F.col("n_chars").cast("double")).alias("log_chars"))
+    rows = evidence.chunk_signals(docs).join(sized, "doc_id").join(labels, "doc_id")
+    return statistics.ridge_table(rows.withColumn("grade", F.col("quality").cast("double")), ["claim_density", "uncertainty_signal", "log_chars"], "grade")
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = readers.html_text(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "title", F.char_length("text").cast("long").alias("text_chars"), F.sha1("text").alias("text_sha1"))
+
+
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    digest = F.sha2("text", 256)
+    before = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.lit("old")).otherwise(digest).alias("digest"), F.lit("kept").alias("state"))
+    after = docs.select("doc_id", digest.alias("digest"), F.lit("encoded").alias("state"))
+    return sinks.refreshed(before, after, "doc_id", "digest")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -246,6 +302,7 @@ QUERIES = {
         ir_metrics, policy_leaderboard, rank_overlap, score_separation, signal_summary, signal_correlation, latency_percentiles,
         marker_signals, safety_scan, page_safety, claim_features, claim_conflicts, corroboration, sliding_chunks, parent_context, theme_stance_counts, contact_patterns,
         duplicate_text_groups, topic_profile_terms, topic_phrases, manifest_diff, merged_modes, coverage_report, stratified_sample, author_activity, temporal_coverage, connected_components, stale_ids,
+        first_stage_candidates, staged_retrieval, rank_table, boundary_chunks, bootstrap_ci, paired_significance, ridge_calibration, html_text, index_refresh,
     )
 }
 

@@ -177,5 +177,21 @@ SELECT doc_id, first(lang) AS lang, first(n_chars) AS n_chars, string_agg(DISTIN
     "temporal_coverage": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d')",
     "connected_components": """WITH e AS (SELECT o_custkey * 2 AS u, o_orderkey * 2 + 1 AS v FROM orders), m AS (SELECT u, least(u, min(v)) AS component FROM e GROUP BY u)
 SELECT u AS node, component FROM m UNION SELECT v, component FROM e JOIN m USING (u)""",
+    "first_stage_candidates": f"""WITH {BM25},
+raw AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS s FROM post JOIN df USING (term) JOIN asked USING (term), lens GROUP BY query_id, doc_id),
+b AS (SELECT query_id, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN 0 ELSE min(s) END AS lo, max(s) AS hi FROM raw GROUP BY query_id),
+x AS (SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (s - lo) / (hi - lo) WHEN s > 0 THEN 1 ELSE 0 END, 6) AS relevance FROM raw JOIN b USING (query_id)),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id DESC) AS r FROM x) WHERE r <= 20),
+has AS (SELECT doc_id, list_distinct(ws) AS has FROM toks), want AS (SELECT item_id AS query_id, list_distinct({words('text')}) AS want FROM benchmark),
+o AS (SELECT query_id, doc_id, relevance, round(CASE WHEN len(want) > 0 THEN len(list_intersect(want, has)) / len(want) ELSE 0 END, 6) AS semantic FROM t JOIN has USING (doc_id) JOIN want USING (query_id)),
+c AS (SELECT *, round(0.5::DOUBLE * relevance + 0.5::DOUBLE * semantic, 7) AS candidate_score FROM o)
+SELECT query_id, doc_id, relevance, semantic, candidate_score, row_number() OVER (PARTITION BY query_id ORDER BY candidate_score DESC, doc_id DESC) AS rank FROM c""",
+    "rank_table": f"""WITH {JUDGED}, p AS (SELECT query_id, doc_id, min(rank) FILTER (method = 'longest') AS longest, min(rank) FILTER (method = 'newest') AS newest, min(rank) FILTER (method = 'shortest') AS shortest FROM top GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(coalesce(longest, 2147483647), coalesce(newest, 2147483647), coalesce(shortest, 2147483647)), doc_id) AS place FROM p""",
+    "html_text": """WITH a AS (SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') AS b FROM pages),
+c AS (SELECT page_id, title, replace(replace(replace(replace(replace(replace(b, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS b FROM a),
+d AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS t FROM c)
+SELECT page_id, title, length(t) AS text_chars, sha1(t) AS text_sha1 FROM d""",
+    "index_refresh": "SELECT doc_id, sha256(text) AS digest, CASE WHEN toxic = 0 THEN 'kept' ELSE 'encoded' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
     "stale_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
