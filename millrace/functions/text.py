@@ -98,7 +98,7 @@ def has_contact(text: Column) -> Column:
 
 
 def slug(value: Column, most: int = 80) -> Column:
-    return F.substring(F.trim(F.lit("-"), F.regexp_replace(F.lower(value), "[^\\p{L}\\p{N}]+", "-")), 1, most)
+    return F.substring(F.trim(F.regexp_replace(F.lower(value), "[^\\p{L}\\p{N}]+", "-"), F.lit("-")), 1, most)
 
 
 def pseudonym(value: Column) -> Column:
