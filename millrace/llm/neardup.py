@@ -8,10 +8,11 @@ is enumerated by leaving one symbol out: 64 keys a signature find all such pairs
 a pair differs in 9.6 symbols on average, and in more than 20 with a probability of about 0.0003.
 Every link is confirmed on the full sets.
 
-Components need no pair of documents that are connected already, so keys are searched in rounds:
-each key's members against its least member, what is left apart against its greatest, and then all
-remaining pairs of different components, in blocks, whose signatures are near enough. So a large
-group of copies gives links in proportion to its size, and no pair of different components escapes.
+Components need no pair of documents that are connected already, so keys are searched in rounds: each
+document against the least of its keys' least members, then what is left apart against the greatest.
+The documents of keys that still hold several components are joined once more by their sets'
+rarest shingles (``prefixes``), which misses no link between them. So a large group of copies makes
+pairs in proportion to its size, and no link between different components escapes.
 
 Defined cases: null and wordless texts have no set and no links; with fewer than five words
 the whole sequence is the one shingle; rows that repeat a doc_id count as one document; a
@@ -33,13 +34,13 @@ from pyspark.sql import functions as F
 from .bpe import Numbering
 from .common import join_small, materialise
 from .components import connected_components
+from .prefixes import prefix_pairs
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 SYMBOLS = 64
 CHUNKS = 11
 MAX_DISTANCE = 20
-BLOCK = 256
 CACHE_WORDS = 500_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -88,20 +89,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature``; the last two are null for an empty set."""
+    """``doc_id, text_hash, n_shingles, set_key, signature``; the last two are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
             sizes, keys, signs = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 hashes = shingle(text.as_py())
                 sizes.append(len(hashes))
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
                 signs.append(signature(hashes).tobytes() if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
 def error_keys(signs: np.ndarray) -> np.ndarray:
@@ -121,10 +123,9 @@ def key_rows(sets: DataFrame) -> DataFrame:
                 part = batch.slice(start, 4096)
                 signs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 nodes = np.repeat(part.column(0).to_numpy(), SYMBOLS)
-                slots = np.tile(np.arange(SYMBOLS, dtype=np.int32), len(signs))
-                yield pa.RecordBatch.from_arrays([pa.array(error_keys(signs).ravel()), pa.array(slots), pa.array(nodes)], ["key", "slot", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(error_keys(signs).ravel()), pa.array(nodes)], ["key", "node"])
 
-    return sets.select("node", "signature").mapInArrow(expand, "key long, slot int, node long")
+    return sets.select("node", "signature").mapInArrow(expand, "key long, node long")
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,103 +143,63 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs of a written table that are links on the full sets."""
-    nodes = materialise(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "nodes")
+def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, tokens`` of each of the ``nodes``: the hashes of all its shingles."""
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "hashes"])
+                sets = [shingle(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+
+    wanted = materialise(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    texts = join_small(docs.select(F.col("doc_id").cast("long"), "text"), wanted, ["doc_id"], "left_semi")
+    return texts.mapInArrow(hash_sets, "node long, tokens array<long>")
 
-    wanted = join_small(docs.select(F.col("doc_id").cast("long"), "text"), nodes, ["doc_id"], "left_semi")
-    full = materialise(wanted.mapInArrow(hash_sets, "node long, hashes binary"), "sets")
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs of a written table that are links on the full sets."""
+    full = materialise(full_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), docs, width), "sets")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= MIN_PERCENT * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    left = full.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-    right = full.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(overlap, "u long, v long")
-
-
-def apart_pairs(keys: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """All near pairs of different components that share a key, each once.
-
-    ``keys`` holds the keys whose members are not all connected. A key with many members is dealt
-    out as pairs of blocks, so no task holds more than two blocks of it at once.
-    """
-    blocks = keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = keys.join(blocks, "key").join(sets.select("node", "n_shingles", "signature"), "node").join(labels, "node", "left")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.select("key", "slot", "node", "n_shingles", "signature", F.coalesce("component", "node").alias("component"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own, i, j = group["own"], group["i"][0], group["j"][0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        node, size, slot = group["node"], group["n_shingles"], group["slot"][0]
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        ok = (node[a] < node[b]) | ((i != j) & (node[a] != node[b]))
-        ok &= group["component"][a] != group["component"][b]
-        ok &= 100 * np.minimum(size[a], size[b]) >= MIN_PERCENT * np.maximum(size[a], size[b])
-        a, b = a[ok], b[ok]
-        differ = group["signature"][a] != group["signature"][b]
-        errors = np.stack([differ[:, CHUNK_OF == c].sum(1) for c in range(CHUNKS)], 1)[:, CHUNK_OF] - differ
-        ok = (differ.sum(1) <= MAX_DISTANCE) & ((errors == 0).argmax(1) == slot)  # at the first key that they share
-        return node[a[ok]], node[b[ok]]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            c = {n: part.column(n).to_numpy(zero_copy_only=False) for n in ("key", "slot", "node", "n_shingles", "component", "own", "i", "j")}
-            c["signature"] = np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS)
-            new = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)) + 1
-            us, vs = [], []
-            for lo, hi in zip([0, *new], [*new, len(c["key"])], strict=True):
-                if hi - lo > 1:
-                    u, v = compare({n: x[lo:hi] for n, x in c.items()})
-                    us.append(np.minimum(u, v))
-                    vs.append(np.maximum(u, v))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-        held = None  # the last group of a batch may go on in the next
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            k, i, j = (table.column(n).to_numpy() for n in ("key", "i", "j"))
-            last = int(np.flatnonzero((k == k[-1]) & (i == i[-1]) & (j == j[-1]))[0])
-            if last:
-                yield from emit(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None:
-            yield from emit(held)
-
-    return dealt.mapInArrow(find, "u long, v long").distinct()
+    left = full.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
+    right = full.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(overlap, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """Operator 6: ``doc_id, n_shingles, component_id, kept`` for every document."""
+    return classify(docs, width).drop("text_hash")
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` without the documents that are near copies of another with a smaller doc_id."""
+    gone = materialise(classify(docs.select("doc_id", "text"), width).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("text_hash").alias("_h")).distinct(), "copies")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64("text").alias("_h"))
+    return join_small(keyed, gone, ["_k", "_h"], "left_anti").select("_row.*")
+
+
+def classify(docs: DataFrame, width: int) -> DataFrame:
+    """``near_duplicates`` with each text's hash."""
     signed = materialise(signatures(docs, width), "signed")
     sets = materialise(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "distinct")
     keys = key_rows(sets)
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     shared = materialise(keys.join(ends, "key"), "keys")
-    tested = None
-    links, labels = None, None
-    for hub in ("low", "high"):
-        stars = shared.select(F.least(hub, "node").alias("u"), F.greatest(hub, "node").alias("v")).where("u <> v").distinct()
-        if links is not None:
+    tested = links = labels = None
+    for pick in (F.min, F.max):
+        stars = hub_pairs(shared, labels, pick)
+        if tested is not None:
             stars = stars.join(tested, ["u", "v"], "left_anti")
         pairs = materialise(near_pairs(stars, sets), "pairs")
         found = materialise(confirm(pairs, docs, width), "links")
@@ -246,13 +207,27 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         links = found if links is None else links.union(found)
         labels = materialise(connected_components(links), "labels")
         shared = materialise(_unsettled(shared, labels), "keys")
-    pairs = materialise(apart_pairs(shared.select("key", "slot", "node"), sets, labels).join(tested, ["u", "v"], "left_anti"), "pairs")
+    left = full_sets(shared, docs, width).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("size"), "tokens")
+    rest = prefix_pairs(materialise(left, "left"), MIN_PERCENT)
+    pairs = materialise(rest.join(tested, ["u", "v"], "left_anti"), "pairs")
     found = confirm(pairs, docs, width)
     labels = materialise(connected_components(links.union(found)), "labels")
     classes = sets.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("class_id"))
     rows = signed.join(classes, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def hub_pairs(shared: DataFrame, labels: DataFrame | None, pick) -> DataFrame:
+    """For each node one pair, with the least or greatest of its keys' least or greatest members, if in another component."""
+    hubs = shared.groupBy("key").agg(pick("node").alias("hub"))
+    rows = shared.join(hubs, "key").where("node <> hub").select("node", "hub")
+    if labels is not None:
+        own = labels.select("node", F.col("component").alias("c"))
+        other = labels.select(F.col("node").alias("hub"), F.col("component").alias("d"))
+        rows = rows.join(own, "node", "left").join(other, "hub", "left").where("coalesce(c, node) <> coalesce(d, hub)")
+    rows = rows.groupBy("node").agg(pick("hub").alias("hub"))
+    return rows.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
 def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
