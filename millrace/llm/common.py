@@ -1,35 +1,13 @@
-"""Helpers that the training-data operators share: shared scratch tables and size-checked joins."""
+"""Helpers that the training-data operators share: written tables and size-checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise, scratch_uri, small
 
-def scratch_uri(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Where the setting is absent (local tests) it is set once, to a new temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    The plan's lineage ends there: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_uri(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["join_small", "materialise", "read", "scratch_uri"]
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int = 2_000_000) -> DataFrame:
@@ -37,9 +15,7 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, max_r
 
     ``right`` must be narrow (ids and numbers). Above the bound the same join shuffles both sides.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    return left.join(F.broadcast(right) if small(right, max_rows) else right, on, how)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import classifier, fingerprints, lexicon, lines, neardup, packing, pii, rules, warc
 from .common import read
+from .oracles import ORACLE_SQL
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ QUERIES = {
     "op10_token_matrix": op10_token_matrix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

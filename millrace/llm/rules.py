@@ -134,8 +134,8 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     words = F.concat(F.transform("_counts", lambda x: x / n), F.array((n - F.col("_found")) / n))
     rows = rows.withColumns(
         {
-            "class_distance": F.when((chars >= MIN_CHARS) & F.col("class_ref").isNotNull(), js_distance(classes, F.col("class_ref"))),
-            "word_distance": F.when((n >= MIN_WORDS) & F.col("word_ref").isNotNull(), js_distance(words, F.col("word_ref"))),
+            "class_distance": F.when((chars >= MIN_CHARS) & F.col("class_ref").isNotNull(), F.round(js_distance(classes, F.col("class_ref")), 6)),
+            "word_distance": F.when((n >= MIN_WORDS) & F.col("word_ref").isNotNull(), F.round(js_distance(words, F.col("word_ref")), 6)),
         }
     )
     diverges = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
