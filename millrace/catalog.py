@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evidence, graph, metrics, relational, retrieval, statistics
+from .operators import chunking, evidence, graph, metrics, relational, retrieval, statistics, trust
 from .plans import staged
 from .sources import readers, sinks
 
@@ -295,6 +295,26 @@ def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.refreshed(before, after, "doc_id", "digest")
 
 
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as works: toxic ones count as retracted, good ones as cited."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    null = F.lit(None).cast("string")
+    return rows.select("doc_id", null.alias("doi"), F.col("source").alias("source_name"), null.alias("landing_page_url"), F.lit(2020).alias("year"), F.when(F.col("lang") == "en", "journal").otherwise("report").alias("source_type"), F.col("text").alias("abstract"), (F.col("n_chars") % 30).cast("int").alias("referenced_work_count"), F.coalesce(F.col("quality") * 20, F.lit(0)).alias("cited_by_count"), (F.coalesce("toxic", F.lit(0)) == 1).alias("is_retracted"))
+
+
+def source_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.source_trust(_works(spark, sf_dir), "economics").select("doc_id", "source_trust", "trust_tier")
+
+
+def committee_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = staged.first_stage(asked(spark, sf_dir), docs, 20)
+    scanned = evidence.safety_scan(docs, "text").select("doc_id", F.col("decision").alias("safety_decision"))
+    rows = found.join(scanned, "doc_id").join(trust.source_trust(_works(spark, sf_dir)).select("doc_id", "source_trust", "is_retracted", "source_type"), "doc_id")
+    rows = rows.select("query_id", "doc_id", "candidate_score", F.col("relevance").alias("lexical"), "semantic", F.lit(0.0).alias("syntax"), "source_trust", "is_retracted", F.when(F.col("source_type") == "journal", "strong_fit").otherwise("low_fit").alias("domain_fit_tier"), "safety_decision", F.lit("single_source").alias("corroboration_verdict"), F.lit(False).alias("is_public_opinion"))
+    return trust.committee(rows).groupBy("query_id", "committee_decision", "allowed_uses").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -302,7 +322,7 @@ QUERIES = {
         ir_metrics, policy_leaderboard, rank_overlap, score_separation, signal_summary, signal_correlation, latency_percentiles,
         marker_signals, safety_scan, page_safety, claim_features, claim_conflicts, corroboration, sliding_chunks, parent_context, theme_stance_counts, contact_patterns,
         duplicate_text_groups, topic_profile_terms, topic_phrases, manifest_diff, merged_modes, coverage_report, stratified_sample, author_activity, temporal_coverage, connected_components, stale_ids,
-        first_stage_candidates, staged_retrieval, rank_table, boundary_chunks, bootstrap_ci, paired_significance, ridge_calibration, html_text, index_refresh,
+        first_stage_candidates, staged_retrieval, rank_table, boundary_chunks, bootstrap_ci, paired_significance, ridge_calibration, html_text, index_refresh, source_trust, committee_decisions,
     )
 }
 

@@ -193,5 +193,12 @@ c AS (SELECT page_id, title, replace(replace(replace(replace(replace(replace(b,
 d AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS t FROM c)
 SELECT page_id, title, length(t) AS text_chars, sha1(t) AS text_sha1 FROM d""",
     "index_refresh": "SELECT doc_id, sha256(text) AS digest, CASE WHEN toxic = 0 THEN 'kept' ELSE 'encoded' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
+    "source_trust": f"""WITH w AS (SELECT doc_id, text, lang, source, n_chars % 30 AS refs, coalesce(quality * 20, 0) AS cited, coalesce(toxic, 0) = 1 AS retracted FROM documents LEFT JOIN labels USING (doc_id)),
+p AS (SELECT doc_id, retracted, CASE WHEN trim(coalesce(source, '')) <> '' THEN 0.4::DOUBLE ELSE 0.15 END AS a, CASE WHEN retracted THEN 0 WHEN lang = 'en' THEN 0.8::DOUBLE ELSE 0.5 END AS b,
+  least(1.0::DOUBLE, CASE WHEN refs >= 20 THEN 0.25::DOUBLE WHEN refs > 0 THEN 0.15 ELSE 0 END + CASE WHEN {contains_any('text', ['data', 'sample', 'method', 'model', 'archive'])} THEN 0.2 ELSE 0 END + CASE WHEN {contains_any('text', ['robustness', 'sensitivity', 'replication'])} THEN 0.2 ELSE 0 END + CASE WHEN {contains_any('text', ['limitation', 'uncertainty', 'bias'])} THEN 0.15 ELSE 0 END + 0.1) AS c,
+  CASE WHEN {contains_any('text', ['preregister', 'pre-register', 'registered report'])} THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN {contains_any('text', ['data available', 'replication data', 'open data'])} THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN {contains_any('text', ['code available', 'github', 'osf', 'dataverse'])} THEN 0.2::DOUBLE ELSE 0 END AS d,
+  least(1.0::DOUBLE, CASE WHEN cited <= 0 THEN 0 ELSE cited / (12.0::DOUBLE * 7) END) AS e FROM w),
+s AS (SELECT doc_id, retracted, CASE WHEN retracted THEN 0 ELSE round((a * 0.2::DOUBLE + b * 0.25::DOUBLE + c * 0.25::DOUBLE + d * 0.15::DOUBLE + e * 0.15::DOUBLE) / 1.0, 6) END AS source_trust FROM p)
+SELECT doc_id, source_trust, CASE WHEN retracted THEN 'blocked' WHEN source_trust >= 0.75 THEN 'strong' WHEN source_trust >= 0.55 THEN 'moderate' WHEN source_trust >= 0.35 THEN 'limited' ELSE 'low' END AS trust_tier FROM s""",
     "stale_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
