@@ -30,7 +30,7 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: list[s
 
 def leaderboard(metrics: DataFrame, method: str) -> DataFrame:
     names = ["ndcg", "recall", "ap", "rr"]
-    return metrics.groupBy(method).agg(F.count("*").alias("queries"), *[F.round(F.avg(n), 6).alias(f"mean_{n}") for n in names])
+    return metrics.groupBy(method).agg(F.count("*").alias("queries"), *[F.round(F.avg(n), 8).alias(f"mean_{n}") for n in names])
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -126,7 +126,7 @@ SELECT query_id, count(*) AS pairs, round(avg(CASE WHEN t - i > 0 AND i / (t - i
     "parent_cap_diversify": """WITH r AS (SELECT role AS query_id, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS rank FROM conversations WHERE text IS NOT NULL),
 m AS (SELECT *, (row_number() OVER (PARTITION BY query_id, conv_id ORDER BY rank) > 2)::INT AS o FROM r) SELECT query_id, conv_id, turn, rank, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS new_rank FROM m""",
     "ir_metrics": f"WITH {JUDGED} SELECT query_id, ndcg, recall, ap, rr FROM scores WHERE method = 'longest'",
-    "policy_leaderboard": f"WITH {JUDGED} SELECT method, count(*) AS queries, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall), 6) AS mean_recall, round(avg(ap), 6) AS mean_ap, round(avg(rr), 6) AS mean_rr FROM scores GROUP BY method",
+    "policy_leaderboard": f"WITH {JUDGED} SELECT method, count(*) AS queries, round(avg(ndcg), 8) AS mean_ndcg, round(avg(recall), 8) AS mean_recall, round(avg(ap), 8) AS mean_ap, round(avg(rr), 8) AS mean_rr FROM scores GROUP BY method",
     "rank_overlap": f"WITH {JUDGED}, l AS (SELECT query_id, method, list(doc_id) AS ids FROM top GROUP BY ALL) SELECT a.query_id, a.method AS left_method, b.method AS right_method, round(len(list_intersect(a.ids, b.ids)) / len(list_distinct(list_concat(a.ids, b.ids))), 6) AS overlap FROM l a JOIN l b ON a.query_id = b.query_id AND a.method < b.method",
     "score_separation": """WITH c AS (SELECT n_chars AS score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS q FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 w AS (SELECT p, q, p * (coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS wins FROM c),
