@@ -43,7 +43,7 @@ def digest(canonical_text: Column) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(LOWEST)).alias("k"), F.xxhash64(text).alias("h"))
+    return docs.select(text.alias("text"), F.coalesce(doc_id, F.lit(LOWEST)).alias("k"), F.xxhash64(text).alias("h"))
 
 
 def order_chain(keyed: DataFrame) -> DataFrame:
@@ -71,6 +71,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs)
     chain = order_chain(keyed)
+    # Both uses take the same three columns, so that the texts are shuffled once.
     whole = keyed.repartition("k", "h")
     linked = whole.join(chain, ["k", "h"])
     prefix = F.substring(F.col("text"), F.lit(1), (F.col("pn") / 2).cast("int"))
@@ -81,7 +82,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text").cast("long")
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(kept, "prefix"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
+    rows = rows.select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
     rows = rows.withColumns({"fingerprint": digest(F.col("canon")), "edited_fingerprint": digest(F.col("edited_canon")), "bytes_sha256": F.sha2("canon", 256)})
 
     def likeness(other: str) -> Column:
