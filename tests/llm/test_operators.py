@@ -233,6 +233,33 @@ def test_line_dedup(spark):
     assert lines.line_report(table(spark, [])).count() == 0
 
 
+def edited_lines(n, edits, chars, seed=3):
+    """``n`` lines of words and copies with ``edits`` characters replaced, at a window Jaccard of at least 0.8."""
+    import random
+
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        line = ""
+        while len(line) < chars:
+            line += " " * bool(line) + "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+        copy = list(line)
+        for i in rng.sample(range(len(copy)), edits):
+            copy[i] = "z"
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (line, "".join(copy)))
+        if line != "".join(copy) and 10 * len(x & y) >= 8 * len(x | y):
+            out.append((line, "".join(copy)))
+    return out
+
+
+def test_line_dedup_finds_edited_characters(spark):
+    pairs = [*edited_lines(60, 1, 60), *edited_lines(60, 2, 150), *edited_lines(60, 4, 300)]
+    rows = lines.line_report(table(spark, [t for pair in pairs for t in pair])).where("n_dropped > 0")
+    found = {r["doc_id"] for r in rows.collect()}
+    assert all(i % 2 for i in found)
+    for part in range(3):
+        assert len([i for i in found if i // 120 == part]) >= 57
+
+
 def test_quality_rules(spark):
     good = [" ".join(f"word{(i * j) % 97} the of and" for j in range(1, 40)) + "." for i in range(1, 41)]
     texts = [*good, None, "", "a b c", "the same words again " * 40, "!!! ### $$$ *** " * 5 + " ".join(f"#{i}$" for i in range(200))]
