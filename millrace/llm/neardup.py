@@ -2,10 +2,11 @@
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased). Documents with
 equal sets collapse first. A signature has 64 symbols of 16 bits; two sets with Jaccard similarity J
-agree in each symbol with probability J. Signatures that differ in at most ``MAX_DISTANCE`` symbols
-must, by pigeonhole, have one of 11 chunks with at most one error, and every single error in a chunk
-is enumerated by leaving one symbol out: 64 keys a signature find all such pairs. At similarity 0.85
-a pair differs in 9.6 symbols on average, and in more than 20 with a probability of about 0.0003.
+agree in each symbol with probability J. Signatures that differ in at most ``max_distance`` symbols
+must, by pigeonhole, have one of half as many chunks (and one more) with at most one error, and every single error in a chunk
+is enumerated by leaving one symbol out: 64 keys a signature find all such pairs. The distance follows from
+the least similarity: a pair just at it differs in more symbols with a probability of ``MAX_MISS`` at most.
+At 0.85 (operator 6) that is a distance of 20 with 11 chunks, at 0.80 (the pipeline's stage) 24 with 13.
 Every link is confirmed on the full sets.
 
 Components need no pair of documents that are connected already, so keys are searched in rounds: each
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,12 @@ from .prefixes import prefix_pairs
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 SYMBOLS = 64
-CHUNKS = 11
-MAX_DISTANCE = 20
+MAX_MISS = 0.0004
 CACHE_WORDS = 500_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLIERS = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 ADDENDS = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64)
-CHUNK_OF = np.sort(np.arange(SYMBOLS) % CHUNKS)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,39 +106,53 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
-def error_keys(signs: np.ndarray) -> np.ndarray:
+def max_distance(percent: int) -> int:
+    """The least distance that a pair at this similarity exceeds with a probability of ``MAX_MISS`` at most."""
+    differ, beyond = 1 - percent / 100, 1.0
+    for d in range(SYMBOLS + 1):
+        beyond -= comb(SYMBOLS, d) * differ**d * (1 - differ) ** (SYMBOLS - d)
+        if beyond <= MAX_MISS:
+            return d
+    return SYMBOLS
+
+
+def error_keys(signs: np.ndarray, chunks: int) -> np.ndarray:
     """For each signature (rows of symbols) its 64 keys: its chunks with each one symbol left out."""
     keys = np.empty(signs.shape, np.uint64)
     salted = mix((signs.astype(np.uint64) << np.uint64(8)) + np.arange(SYMBOLS, dtype=np.uint64) + np.uint64(1))
-    for chunk in range(CHUNKS):
-        at = np.flatnonzero(CHUNK_OF == chunk)
+    chunk_of = np.sort(np.arange(SYMBOLS) % chunks)
+    for chunk in range(chunks):
+        at = np.flatnonzero(chunk_of == chunk)
         keys[:, at] = salted[:, at].sum(1, dtype=np.uint64)[:, None] - salted[:, at]
     return mix(keys + np.arange(SYMBOLS, dtype=np.uint64) * _P).astype(np.int64)
 
 
-def key_rows(sets: DataFrame) -> DataFrame:
+def key_rows(sets: DataFrame, percent: int) -> DataFrame:
+    chunks = max_distance(percent) // 2 + 1
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
                 signs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 nodes = np.repeat(part.column(0).to_numpy(), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(error_keys(signs).ravel()), pa.array(nodes)], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(error_keys(signs, chunks).ravel()), pa.array(nodes)], ["key", "node"])
 
     return sets.select("node", "signature").mapInArrow(expand, "key long, node long")
 
 
-def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose sizes allow a link and whose signatures are near enough."""
     left = sets.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("signature").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("signature").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v").where(f"100 * least(nu, nv) >= {MIN_PERCENT} * greatest(nu, nv)")
+    both = pairs.join(left, "u").join(right, "v").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
+    most = max_distance(percent)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("su", "sv"))
-                yield batch.select(["u", "v"]).filter(pa.array((a != b).sum(1) <= MAX_DISTANCE))
+                yield batch.select(["u", "v"]).filter(pa.array((a != b).sum(1) <= most))
 
     return both.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
 
@@ -159,7 +173,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(hash_sets, "node long, tokens array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of a written table that are links on the full sets."""
     full = materialise(full_sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), docs, width), "sets")
 
@@ -169,7 +183,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= MIN_PERCENT * (len(x) + len(y) - common))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     left = full.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
@@ -179,21 +193,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """Operator 6: ``doc_id, n_shingles, component_id, kept`` for every document."""
-    return classify(docs, width).drop("text_hash")
+    return classify(docs, width, MIN_PERCENT).drop("text_hash")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = MIN_PERCENT) -> DataFrame:
     """``docs`` without the documents that are near copies of another with a smaller doc_id."""
-    gone = materialise(classify(docs.select("doc_id", "text"), width).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("text_hash").alias("_h")).distinct(), "copies")
+    gone = materialise(classify(docs.select("doc_id", "text"), width, percent).where("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("text_hash").alias("_h")).distinct(), "copies")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64("text").alias("_h"))
     return join_small(keyed, gone, ["_k", "_h"], "left_anti").select("_row.*")
 
 
-def classify(docs: DataFrame, width: int) -> DataFrame:
+def classify(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``near_duplicates`` with each text's hash."""
     signed = materialise(signatures(docs, width), "signed")
     sets = materialise(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "distinct")
-    keys = key_rows(sets)
+    keys = key_rows(sets, percent)
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     shared = materialise(keys.join(ends, "key"), "keys")
     tested = links = labels = None
@@ -201,16 +215,16 @@ def classify(docs: DataFrame, width: int) -> DataFrame:
         stars = hub_pairs(shared, labels, pick)
         if tested is not None:
             stars = stars.join(tested, ["u", "v"], "left_anti")
-        pairs = materialise(near_pairs(stars, sets), "pairs")
-        found = materialise(confirm(pairs, docs, width), "links")
+        pairs = materialise(near_pairs(stars, sets, percent), "pairs")
+        found = materialise(confirm(pairs, docs, width, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         labels = materialise(connected_components(links), "labels")
         shared = materialise(_unsettled(shared, labels), "keys")
     left = full_sets(shared, docs, width).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("size"), "tokens")
-    rest = prefix_pairs(materialise(left, "left"), MIN_PERCENT)
+    rest = prefix_pairs(materialise(left, "left"), percent)
     pairs = materialise(rest.join(tested, ["u", "v"], "left_anti"), "pairs")
-    found = confirm(pairs, docs, width)
+    found = confirm(pairs, docs, width, percent)
     labels = materialise(connected_components(links.union(found)), "labels")
     classes = sets.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("class_id"))
     rows = signed.join(classes, "set_key", "left")

@@ -209,6 +209,20 @@ def test_near_duplicates_by_brute_force(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = []
+    for g in range(60):
+        words = [f"w{g}_{i}" for i in range(54 + g % 7)]
+        texts += [" ".join(words), " ".join([*words[:20], f"x{g}", *words[21:]])]
+    sets = [shingles(t, 5) for t in texts]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 <= x < 0.85 for x in likeness)
+    docs = table(spark, texts)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 120, 2))
+    assert neardup.near_duplicates(docs).where("kept").count() == 120
+
+
 def test_prefix_pairs_miss_nothing(spark):
     import random
 
