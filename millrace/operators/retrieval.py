@@ -5,12 +5,14 @@ Everything runs over a table of queries at once. Only postings of query terms ar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..functions.storage import small
+from ..functions.storage import materialise, small
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -69,17 +71,33 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     return top_k(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def blocks(rows: DataFrame, most: int) -> list[DataFrame]:
+    """Parts of at most ``most`` rows each: halves by a bit of the row number's hash, as often as needed."""
+    if small(rows, most):
+        return [rows]
+    numbered = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    todo, done = [(numbered, 0)], []
+    while todo:
+        part, depth = todo.pop()
+        if small(part, most):
+            done.append(part.drop("_row"))
+            continue
+        bit = F.pmod(F.xxhash64("_row", F.lit(depth)), F.lit(2))
+        todo += [(part.where(bit == side), depth + 1) for side in (0, 1)]
+    return done
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = MAX_BROADCAST_VECTORS) -> DataFrame:
     """Exact cosine top ``k`` of each query vector over all ``(vec_id, embedding)``.
 
-    The query set is given and small: it is broadcast in blocks of a checked size, and the vectors
-    stream past it once a block.
+    The query set is broadcast in blocks of a checked size, and the vectors stream past it once a block.
     """
-    if not small(queries, MAX_BROADCAST_VECTORS):
-        raise ValueError(f"more than {MAX_BROADCAST_VECTORS} query vectors: search them in blocks")
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    pairs = vectors.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(pairs, k).select("query_id", "doc_id", "score", "rank")
+    found = []
+    for part in blocks(queries, block):
+        asked = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+        pairs = vectors.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+        found.append(top_k(pairs, k).select("query_id", "doc_id", "score", "rank"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def overlap_scores(queries: DataFrame, candidates: DataFrame, docs: DataFrame) -> DataFrame:

@@ -176,3 +176,10 @@ def test_streaming_windows(spark, tmp_path):
     query = telemetry.stage_windows(events, "ts", "stage", "ms").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["mean"] for r in spark.table("windows").collect()) == [2.0, 4.0]
+
+
+def test_nearest_in_blocks(spark):
+    rows = [(i, [math.sin(i * j + 1.0) for j in range(1, 9)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, parts = (sorted(map(tuple, retrieval.nearest(vectors, vectors, 3, block).collect())) for block in (100, 25))
+    assert parts == whole and len(whole) == 180
