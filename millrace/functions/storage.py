@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_uri(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset (tests) it is set once."""
+    """A fresh path below ``spark.checkpoint.dir``; where that is unset it is set once in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -25,5 +27,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, so that it may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows, so that it may be broadcast; of a written table only footers are read."""
+    return df.count() <= max_rows
