@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bpe import Numbering
 from .common import join_small, materialise
 from .components import connected_components
-from .prefixes import prefix_pairs
+from .prefixes import bitmap, prefix_pairs
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
@@ -157,8 +157,9 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``node, tokens`` of each of the ``nodes``: the hashes of all its shingles."""
+def full_sets(nodes: DataFrame, docs: DataFrame, width: int, with_bits: bool = False) -> DataFrame:
+    """``node, tokens`` of each of the ``nodes``: the hashes of all its shingles; ``with_bits`` adds their bitmap ``bits``."""
+    names = ["node", "tokens", "bits"][: 2 + with_bits]
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -166,11 +167,14 @@ def full_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingle(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+                columns = [part.column(0), pa.array(sets, pa.list_(pa.int64()))]
+                if with_bits:
+                    columns.append(pa.array(list(map(bitmap, sets)), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     wanted = materialise(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     texts = join_small(docs.select(F.col("doc_id").cast("long"), "text"), wanted, ["doc_id"], "left_semi")
-    return texts.mapInArrow(hash_sets, "node long, tokens array<long>")
+    return texts.mapInArrow(hash_sets, "node long, tokens array<long>" + (", bits array<long>" if with_bits else ""))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -221,7 +225,7 @@ def classify(docs: DataFrame, width: int, percent: int) -> DataFrame:
         links = found if links is None else links.union(found)
         labels = materialise(connected_components(links), "labels")
         shared = materialise(_unsettled(shared, labels), "keys")
-    left = full_sets(shared, docs, width).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("size"), "tokens")
+    left = full_sets(shared, docs, width, with_bits=True).join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("size"), "tokens", "bits")
     rest = prefix_pairs(materialise(left, "left"), percent)
     pairs = materialise(rest.join(tested, ["u", "v"], "left_anti"), "pairs")
     found = confirm(pairs, docs, width, percent)
