@@ -75,15 +75,15 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     whole = keyed.repartition("k", "h")
     linked = whole.join(chain, ["k", "h"])
     prefix = F.substring(F.col("text"), F.lit(1), (F.col("pn") / 2).cast("int"))
-    following = linked.select("k", "h", "copies", F.col("pk"), F.col("ph"), prefix.alias("prefix"), canonical(F.col("text")).alias("canon"))
-    following = following.select("k", "h", "copies", "pk", "ph", "prefix", digest(F.col("canon")).alias("next_fingerprint"))
+    following = linked.select("k", "h", "copies", F.col("pk"), F.col("ph"), prefix.alias("prefix"), canonical(F.col("text")).alias("form"))
+    following = following.select("k", "h", "copies", "pk", "ph", "prefix", digest(F.col("form")).alias("next_fingerprint"))
     once = following.where("copies = 1").unionByName(following.where("copies > 1").dropDuplicates(["k", "h"]))
     rows = whole.join(once.select(F.col("pk").alias("k"), F.col("ph").alias("h"), "prefix", "next_fingerprint"), ["k", "h"])
     n = F.char_length("text").cast("long")
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(kept, "prefix"))
-    rows = rows.select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
-    rows = rows.withColumns({"fingerprint": digest(F.col("canon")), "edited_fingerprint": digest(F.col("edited_canon")), "bytes_sha256": F.sha2("canon", 256)})
+    rows = rows.select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_fingerprint", canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"))
+    rows = rows.withColumns({"fingerprint": digest(F.col("form")), "edited_fingerprint": digest(F.col("edited_form")), "bytes_sha256": F.sha2("form", 256)})
 
     def likeness(other: str) -> Column:
         return (F.col("fingerprint") == F.col(other)).cast("double")
@@ -97,12 +97,12 @@ def classes(docs: DataFrame) -> DataFrame:
     ``class_id`` is the least doc_id. Canonical texts are the grouping key, so equal bytes are what
     counts; copies collapse before the shuffle.
     """
-    forms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.coalesce("text", F.lit(""))).alias("canon"))
-    forms = forms.withColumn("fingerprint", digest(F.col("canon")))
+    forms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.coalesce("text", F.lit(""))).alias("form"))
+    forms = forms.withColumn("fingerprint", digest(F.col("form")))
     shared = materialise(forms.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared")
     inside = join_small(forms, shared, ["fingerprint"], "left_semi")
-    groups = inside.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    return groups.where("members > 1").select("fingerprint", F.sha2("canon", 256).alias("bytes_sha256"), "class_id", "members")
+    groups = inside.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    return groups.where("members > 1").select("fingerprint", F.sha2("form", 256).alias("bytes_sha256"), "class_id", "members")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
