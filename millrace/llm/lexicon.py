@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding with a lexicon of frequent words (operator 7).
 
-Spark counts the pieces of all texts. The words of the ``max_words`` most frequent pieces are compiled
+Spark counts the pieces of all texts. The words of the most frequent pieces, ``max_words`` at most, are compiled
 into a minimal acyclic automaton (states with equal continuations are shared); each edge carries
 how many words precede those behind it, so that a path gives a word's number and the number its ids.
 The arrays are one bounded byte string; each Python worker writes it to an unlinked temporary file and
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import materialise
 
 MAX_WORDS = 65_536
 
@@ -123,9 +124,20 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, encoder: bpe.WordBpe, max_words: int = MAX_WORDS) -> dict[bytes, tuple[int, ...]]:
-    """The words of the ``max_words`` most frequent white-space pieces of all texts, with their ids."""
+    """The words of the most frequent white-space pieces of all texts, with their ids.
+
+    All pieces above the least count (in steps) that leaves ``max_words`` at most: no more than those reach the driver.
+    """
     pieces = docs.select(F.explode(F.split("text", "[ \\t\\n\\r\\x0b\\f]+")).alias("piece")).where("piece <> ''")
-    top = pieces.groupBy("piece").count().orderBy(F.desc("count"), "piece").limit(max_words).collect()
+    # Steps of count, sixteen to a doubling: so few that their histogram fits any driver.
+    counts = materialise(pieces.groupBy("piece").count().select("piece", F.floor(F.log2("count") * 16).cast("int").alias("step")), "pieces")
+    least, room = None, max_words
+    for row in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    top = [] if least is None else counts.where(F.col("step") >= least).select("piece").collect()
     words = list({w for row in top for w in encoder.split_piece(row["piece"].encode("utf-8", "replace")) or ()})
     return dict(zip(words, encoder.merge_words(words), strict=True))
 
