@@ -212,3 +212,9 @@ class PieceEncoder:
             total = int(ends[-1]) if len(ends) else 0
             out.append(self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)])
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of this vocabulary, whose cache of pieces serves one task after another."""
+    return PieceEncoder(load(path))

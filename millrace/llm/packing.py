@@ -40,15 +40,22 @@ PLACES = "sequence_id long, offset long"
 Run = tuple[int, int, int, int, int, int]  # length, first rank, ranks, first sequence, offset, copies a sequence
 
 
+def id_type(model: bpe.WordBpe) -> str:
+    """The numpy type that holds every id of the vocabulary."""
+    return "<u2" if len(model.tokens) <= 1 << 16 else "<u4"
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Encode each text, append ``end_id`` and cut what exceeds ``capacity``: one row for each piece.
 
-    ``with_ids`` adds the ids as zlib-compressed little-endian unsigned 32-bit binary.
+    ``with_ids`` adds the ids as Zstandard-compressed little-endian numbers of the vocabulary's ``id_type``.
     """
     path = tokenizer_path or bpe.default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.PieceEncoder(bpe.load(path))
+        encoder = bpe.encoder(path)
+        kind = id_type(encoder.bpe)
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -58,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         raw = ids[start : start + capacity].tobytes()
-                        row = (doc_id, k, start, len(raw) // 4, zlib.crc32(raw), zlib.compress(raw, 1) if with_ids else None)
+                        row = (doc_id, k, start, len(raw) // 4, zlib.crc32(raw), codec.compress(ids[start : start + capacity].astype(kind).tobytes(), asbytes=True) if with_ids else None)
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -246,7 +253,11 @@ def pack_matrix(docs: DataFrame, tokenizer_path: str | None = None, capacity: in
     segment = F.struct("offset", "length", "doc_id", "piece", "ids")
     rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
 
+    path = tokenizer_path or bpe.default_path()
+
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(id_type(bpe.load(path)))
+        codec = pa.Codec("zstd")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -257,7 +268,7 @@ def pack_matrix(docs: DataFrame, tokenizer_path: str | None = None, capacity: in
                     cumulative = [0]
                     for s in segments:
                         end = s["offset"] + s["length"]
-                        ids[s["offset"] : end] = np.frombuffer(zlib.decompress(s["ids"]), "<u4")
+                        ids[s["offset"] : end] = np.frombuffer(codec.decompress(s["ids"], s["length"] * kind.itemsize), kind)
                         positions[s["offset"] : end] = np.arange(s["length"])
                         cumulative.append(end)
                     out.append((sequence, cumulative[-1], len(segments), [s["doc_id"] for s in segments], [s["piece"] for s in segments], cumulative, ids.tobytes(), positions.tobytes()))
