@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .rules import CLASS_NAMES, SPACE, class_counts, with_repeat_words
+from .rules import CLASS_NAMES, SPACE, with_class_counts, with_repeat_words
 
 MAX_TRAINING_ROWS = 20_000
 TREES = 20
@@ -39,14 +39,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
     rows = docs.withColumns({"_text": text, "_words": words, "_lines": lines})
-    rows = rows.withColumns({"_classes": class_counts(F.col("_text")), "_distinct": F.size(F.array_distinct("_words"))})
+    rows = with_class_counts(rows, "_text", "_classes").withColumn("_distinct", F.size(F.array_distinct("_words")))
     rows = with_repeat_words(rows, "_words", "_repeat")
     n_chars, n_words, n_lines = F.char_length("_text"), F.size("_words"), F.size("_lines")
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(0.0).cast("double")
 
-    letters = F.char_length(F.regexp_replace("_text", SPACE, ""))
+    letters = n_chars - F.col("_classes")[CLASS_NAMES.index("space")]
     same_as_next = F.size(F.filter(F.zip_with("_words", F.slice("_words", 2, F.greatest(n_words - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
     columns = {
         "log_words": F.log1p(n_words.cast("double")),
@@ -64,7 +64,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "stops": share(n_chars - F.char_length(F.translate("_text", ".", "")), n_words),
     }
     columns |= {f"share_{name}": share(F.col("_classes")[i], n_chars) for i, name in enumerate(CLASS_NAMES)}
-    return rows.withColumns(columns).drop("_text", "_words", "_lines", "_classes", "_repeat", "_distinct")
+    return rows.withColumns(columns).drop("_text", "_words", "_lines", "_classes", "_symbols", "_repeat", "_distinct")
 
 
 STATISTICS = ["log_words", "word_length", "words_a_line", "distinct_words", "repeated_words", "same_as_next", "distinct_lines", "short_words", "words_in_capitals", "words_with_marks", "exclamations", "bars", "stops", *(f"share_{n}" for n in CLASS_NAMES)]

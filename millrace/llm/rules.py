@@ -30,30 +30,20 @@ MAX_WORD_DISTANCE = 0.50
 CLASS_NAMES = ("lower", "upper", "digit", "space", "sentence", "symbol", "beyond_ascii", "other")
 
 
-def characters(low: str, high: str) -> str:
-    return "".join(map(chr, range(ord(low), ord(high) + 1)))
+def with_class_counts(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add array ``name``: how many code points of each class ``text`` has, in the order of ``CLASS_NAMES``; and ``_symbols``, those of ``SYMBOLS``.
 
-
-def count_of(text: Column, chars: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
-
-
-def class_counts(text: Column) -> Column:
-    """How many code points of each class the text has, in the order of ``CLASS_NAMES``."""
-    n = F.char_length(text).cast("long")
-    known = [
-        count_of(text, characters("a", "z")),
-        count_of(text, characters("A", "Z")),
-        count_of(text, characters("0", "9")),
-        n - F.char_length(F.regexp_replace(text, SPACE, "")),
-        count_of(text, ".,;:'\"?()-"),
-        count_of(text, SYMBOLS + "!@^~_=+/\\{}[]"),
-        F.char_length(F.regexp_replace(text, "[\\x00-\\x7F]+", "")).cast("long"),
-    ]
-    total = known[0]
-    for c in known[1:]:
-        total = total + c
-    return F.array(*known, n - total)
+    Each class is taken out of what the ones before it left, the most common first, so that only the first pass sees the whole text.
+    """
+    sets = {"lower": "[a-z]+", "space": SPACE, "beyond_ascii": "[^\\x00-\\x7F]+", "upper": "[A-Z]+", "sentence": "[.,;:'\"?()\\-]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>!@\\^~_=+/\\\\{}\\[\\]]+"}
+    left, before = text, None
+    for i, (kind, pattern) in enumerate(sets.items()):
+        rows = rows.withColumn(f"_left{i}", F.regexp_replace(left, pattern, ""))
+        before, left = left, f"_left{i}"
+        rows = rows.withColumn(f"_n_{kind}", (F.char_length(before) - F.char_length(left)).cast("long"))
+    rows = rows.withColumn("_symbols", (F.char_length(before) - F.char_length(F.regexp_replace(before, f"[{SYMBOLS}]+", ""))).cast("long"))
+    rows = rows.withColumn(name, F.array(*[F.char_length(left).cast("long") if k == "other" else F.col(f"_n_{k}") for k in CLASS_NAMES]))
+    return rows.drop(*[f"_left{i}" for i in range(len(sets))], *[f"_n_{k}" for k in sets])
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -64,43 +54,57 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 
 def with_repeat_words(rows: DataFrame, words: str, name: str) -> DataFrame:
-    """Add how many words stand in a window of three that the text has twice or more."""
+    """Add how many words stand in a window of three that the text has twice or more.
+
+    Windows are sorted as longs that hold a hash and, below it, the place; equal ones then stand side by side. Each place
+    in such a run covers three words, less what it shares with the place before it.
+    """
     n = F.size(words)
-    last = F.greatest(n - 2, F.lit(1))
-    threes = F.transform(F.slice(words, 1, last), lambda w, i: F.struct(F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)).alias("h"), i.alias("i")))
-    rows = rows.withColumn("_ordered", F.when(n >= 3, F.array_sort(threes)))
-    twice = F.filter(F.zip_with("_ordered", F.slice("_ordered", 2, F.greatest(last - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda p: p.isNotNull())
-    places = F.flatten(F.transform(F.array_distinct(F.flatten(twice)), lambda i: F.array(i, i + 1, i + 2)))
-    return rows.withColumn(name, F.when(n < 3, 0).otherwise(F.size(F.array_distinct(places))).cast("long")).drop("_ordered")
+    hashed = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(F.col(words), i + 1), F.get(F.col(words), i + 2)))
+    rows = rows.withColumn("_bits", F.coalesce(F.greatest(F.lit(14), F.ceil(F.log2(n + 1.0)).cast("int")), F.lit(14))).withColumn("_hashes", F.when(n >= 3, hashed))
+    packed = F.transform("_hashes", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_ordered", F.sort_array(packed))
+
+    def equal(a: Column, b: Column) -> Column:
+        return F.call_function("shiftright", a, F.col("_bits")) == F.call_function("shiftright", b, F.col("_bits"))
+
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
+    twice = F.filter(F.zip_with("_ordered", F.slice("_ordered", 2, F.size("_ordered")), lambda a, b: F.when(equal(a, b), F.array(a.bitwiseAND(place), b.bitwiseAND(place)))), lambda p: p.isNotNull())
+    rows = rows.withColumn("_places", F.sort_array(F.flatten(twice)))
+    gaps = F.zip_with(F.slice("_places", 2, F.size("_places")), "_places", lambda b, a: F.when(b.isNull(), 3).otherwise(F.least(b - a, F.lit(3))))
+    covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
+    return rows.withColumn(name, F.when(n < 3, 0).otherwise(covered).cast("long")).drop("_bits", "_hashes", "_ordered", "_places")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
-    """The fixed rules' columns and ``base_failed``, from ``_text`` and ``_words``."""
-    text = F.col("_text")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.withColumn("_lines", lines).withColumns(
+    """The fixed rules' columns, ``_classes`` and ``base_failed``, from ``_text`` and ``_words``."""
+    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+    rows = with_class_counts(rows, "_text", "_classes").withColumn("_lines", lines)
+    rows = rows.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.regexp_replace(text, SPACE, "")).cast("long"),
-            "n_symbols": count_of(text, SYMBOLS),
+            "word_chars": F.char_length("_text") - F.col("_classes")[CLASS_NAMES.index("space")],
+            "n_symbols": F.col("_symbols"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
     rows = with_repeat_words(rows, "_words", "n_repeat_words")
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).drop("_lines")
+    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).drop("_lines", "_symbols")
 
 
 def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
     """One row a language: ``_lang, class_ref, common, word_ref``, from all documents."""
-    rows = with_words(docs.select("text", "lang"))
-    counted = rows.select("_lang", class_counts(F.col("_text")).alias("c"), F.size("_words").cast("long").alias("n"))
-    sums = counted.groupBy("_lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("total"), *[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(len(CLASS_NAMES))])
-    words = rows.select("_lang", F.explode("_words").alias("w")).select("_lang", F.lower("w").alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), F.coalesce("lang", F.lit("")).alias("_lang"))
+    counted = with_class_counts(rows, "_text", "c")
+    sums = counted.groupBy("_lang").agg(F.count("*").alias("n_docs"), *[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(len(CLASS_NAMES))])
+    each = rows.select("_lang", F.explode(F.split(F.lower("_text"), SPACE)).alias("w")).where("w <> ''")
+    words = materialise(each.groupBy("_lang", "w").agg(F.count("*").alias("n")), "words")
+    totals = words.groupBy("_lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))
     top = words.withColumn("rank", rank).where(F.col("rank") <= common_words)
     ordered = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "w", "n"))).alias("top"))
     chars = sum((F.col(f"c{k}") for k in range(1, len(CLASS_NAMES))), F.col("c0"))
-    both = sums.join(ordered, "_lang", "left").where((F.col("n_docs") >= MIN_REFERENCE_DOCS) & (F.col("total") > 0))
+    both = sums.join(totals, "_lang").join(ordered, "_lang").where((F.col("n_docs") >= MIN_REFERENCE_DOCS) & (F.col("total") > 0))
     shares = F.transform("top", lambda x: x["n"] / F.col("total"))
     rest = 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
     return both.select("_lang", F.array(*[F.col(f"c{k}") / chars for k in range(len(CLASS_NAMES))]).alias("class_ref"), F.col("top.w").alias("common"), F.concat(shares, F.array(F.greatest(rest, F.lit(0.0)))).alias("word_ref"))
@@ -125,10 +129,14 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     refs = materialise(references(docs), "references") if refs is None else refs
     rows = join_small(base_columns(with_words(docs)), refs, ["_lang"], "left")
     n = F.col("n_words")
-    rows = rows.withColumns({"_classes": class_counts(F.col("_text")), "_lowered": F.transform("_words", F.lower)})
-    counts = F.transform("common", lambda c: F.size(F.filter("_lowered", lambda w: w == c)))
-    # Named twice, ``_lowered`` stays a column of its own: inlined, it would be made anew for every common word.
-    rows = rows.withColumn("_counts", F.when(F.size("_lowered") >= 0, counts)).withColumn("_found", F.aggregate("_counts", F.lit(0), lambda a, x: a + x))
+    # Each word's number in the list of common words, sorted, with every number once more in between: where a number
+    # begins and where the next one does tells how often it stands there.
+    numbers = F.filter(F.transform("_words", lambda w: F.coalesce(F.array_position(F.col("common"), F.lower(w)).cast("int"), F.lit(0))), lambda i: i > 0)
+    marks = F.sequence(F.lit(1), F.size("common") + 1)
+    rows = rows.withColumn("_numbers", F.when(F.col("common").isNotNull(), F.sort_array(F.concat(numbers, marks))))
+    rows = rows.withColumn("_starts", F.transform(marks, lambda k: F.array_position("_numbers", k)))
+    counts = F.zip_with(F.slice("_starts", 2, F.size("common")), F.slice("_starts", 1, F.size("common")), lambda b, a: (b - a - 1).cast("int"))
+    rows = rows.withColumn("_counts", F.when(F.col("common").isNotNull(), counts)).withColumn("_found", F.aggregate("_counts", F.lit(0), lambda a, x: a + x))
     chars = F.char_length("_text")
     classes = F.transform("_classes", lambda x: x / chars)
     words = F.concat(F.transform("_counts", lambda x: x / n), F.array((n - F.col("_found")) / n))
@@ -139,7 +147,7 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
         }
     )
     diverges = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
-    helpers = ["_text", "_words", "_lang", "_lowered", "_classes", "_counts", "_found", "class_ref", "common", "word_ref"]
+    helpers = ["_text", "_words", "_lang", "_classes", "_numbers", "_starts", "_counts", "_found", "class_ref", "common", "word_ref"]
     judged = rows.withColumn("kept", ~(F.col("base_failed") | diverges)).drop(*helpers)
     # The counts are for monitoring. They also keep a filter on ``kept`` above the columns that it
     # needs: pushed below them, its condition would repeat each statistic wherever it is named.
