@@ -31,11 +31,11 @@ BASE = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 ADDED = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\\[at\\]|\\(at\\)| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\\[dot\\]|\\(dot\\)| dot ) ?[A-Za-z]{2,24}+",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\\[at\\]|\\(at\\)| at ) ?[A-Za-z0-9-]++ ?(?:\\[dot\\]|\\(dot\\)| dot ) ?[A-Za-z]{2,}+",
     "phone": "(?<![0-9A-Za-z+.\\-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
-    "secret": "(?<![A-Za-z])(?:token|api_?key|secret|password|passwd)\\x20{0,4}[=:]\\x20{0,4}[\"'][^\"'\\s]{8,200}+[\"']",
+    "secret": "(?<![A-Za-z])(?:token|api_?key|secret|password|passwd)\\x20{0,4}[=:]\\x20{0,4}[\"'][^\"'\\s]{8,}+[\"']",
 }
 HINTS = {"email": "@", "phone": "+"}  # a base pattern needs this character
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "secret"]
@@ -43,6 +43,7 @@ LABELERS = ["form", "gazetteer", "cue", "surroundings", "placeholder"]
 LENGTHS = [8, 12, 16, 24, 40]
 MIN_PROBABILITY = 0.5
 CONTEXT = 40
+RUN = 128
 SPAN = "struct<start:int,end:int,text:string>"
 
 TOP_DOMAINS = "com|net|org|edu|gov|info|io|de|fr|es|it|nl|uk|eu|ch|at|us|ca|au|jp"
@@ -58,18 +59,45 @@ CUES = {
 COUNTER_CUES = "isbn|version|figure|fig|page|pages|order|invoice|article|section|chapter"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` with their code point offsets; the end is exclusive."""
+def gaps(text: Column, pattern: str) -> Column:
+    """The matches of ``pattern``, each with the number of code points between it and the one before."""
     found = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
+    return F.filter(found, lambda x: x["m"].isNotNull())
+
+
+def runs(found: Column, valid) -> Column:
+    """Valid matches of each ``RUN`` matches on, with offsets from the run's beginning, and the run's length.
+
+    An array that grows by one is copied each time: in runs, what is copied grows with the matches and not with their square.
+    """
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
         end = start + F.char_length(x["m"])
         span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.when(x["m"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out")))
+        return F.struct(end.alias("at"), F.when(valid(x["m"]), F.concat(done["out"], F.array(span))).otherwise(done["out"]).alias("out"))
+
+    empty = F.struct(F.lit(0).alias("at"), none().alias("out"))
+    firsts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(RUN)), lambda i: i <= F.size(found))
+    return F.transform(firsts, lambda i: F.aggregate(F.slice(found, i, F.lit(RUN)), empty, step))
+
+
+def shifted(pieces: Column) -> Column:
+    """The runs' spans with their code point offsets in the text; the end is exclusive."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(pieces, zero, lambda done, p: F.struct((done["at"] + p["at"]).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(found, empty, step, lambda done: done["out"])
+    def move(p: Column, by: Column) -> Column:
+        return F.transform(p["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["text"].alias("text")))
+
+    return F.flatten(F.zip_with(pieces, starts, move))
+
+
+def with_spans(rows: DataFrame, name: str, pattern: str, gate: Column, valid) -> DataFrame:
+    """Add array ``name``: the valid matches of ``pattern`` in ``_text`` where ``gate`` holds."""
+    rows = rows.withColumn("_gaps", F.when(gate, gaps(F.col("_text"), pattern)))
+    rows = rows.withColumn("_runs", F.when(F.size("_gaps") > 0, runs(F.col("_gaps"), valid)))
+    return rows.withColumn(name, F.coalesce(F.when(F.col("_runs").isNotNull(), shifted(F.col("_runs"))), none())).drop("_gaps", "_runs")
 
 
 def none() -> Column:
@@ -104,11 +132,6 @@ def valid_base(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    found = F.filter(spans(text, BASE[kind]), lambda s: valid_base(kind, s["text"]))
-    return F.when(F.contains(text, F.lit(HINTS[kind])), found).otherwise(none()) if kind in HINTS else found
-
-
 def word_in(words: str, context: Column) -> Column:
     return context.rlike(f"(?i)(?<![A-Za-z])(?:{words})(?![A-Za-z])")
 
@@ -155,12 +178,12 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and ``found``: every document's spans with their votes."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_text", text)
-    arrays = {f"_b_{k}": base_spans(F.col("_text"), k) for k in BASE}
+    for kind, pattern in BASE.items():
+        gate = F.contains(F.col("_text"), F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
+        rows = with_spans(rows, f"_b_{kind}", pattern, gate, lambda m, kind=kind: valid_base(kind, m))
     hints = {"email": F.col("_text").rlike("\\bat\\b"), "secret": F.col("_text").rlike("[=:]\\x20{0,4}[\"']")}
     for kind, pattern in ADDED.items():
-        gate = hints.get(kind, F.col("_text").rlike("[0-9]{2}"))
-        arrays[f"_a_{kind}"] = F.when(gate, spans(F.col("_text"), pattern)).otherwise(none())
-    rows = rows.withColumns(arrays)
+        rows = with_spans(rows, f"_a_{kind}", pattern, hints.get(kind, F.col("_text").rlike("[0-9]{2}")), lambda m: F.lit(True))
 
     def judged(kind: str, base: bool):
         return lambda s: votes(kind, base, F.col("_text"), s)
@@ -285,8 +308,8 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans become one."""
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("_row"), "text")
-    model = train(materialise(candidates(packed, "text").select("found"), "spans"))
-    rows = candidates(packed, "_row")
+    rows = materialise(candidates(packed, "_row"), "spans")
+    model = train(rows)
     text = F.col("_row.text")
     chosen = F.array_sort(F.transform(F.filter("found", lambda s: s["base"] | model.accepts(s)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
