@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, classifier, fingerprints, lexicon, lines, neardup, packing, pii, prefixes, rules, warc
@@ -132,6 +133,27 @@ def test_fingerprints(spark):
     assert unicodedata.normalize("NFKC", "Ａ") == "A"
 
 
+def fingerprint_by_force(text):
+    form = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    form = re.sub(r"[\s\x85]+", " ", form).strip(" ").encode()
+    return "".join(f"{xxhash.xxh64_intdigest(form, xxhash.xxh64_intdigest(k.to_bytes(4, 'little'), 42)):016x}" for k in range(4))
+
+
+def test_fingerprints_by_brute_force(spark):
+    texts = ["Plain words\n and  MORE", "Ｆｕｌｌ ｗｉｄｔｈ ﬁne", "Straße Äpfel ½", "", "x" * 300_000 + " END", "tab\tand\u00a0space", "plain words and more"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, ""), (None, "Null id")], "doc_id long, text string")
+    by_id = {}
+    for r in fingerprints.fingerprint_documents(rows).collect():
+        by_id.setdefault(r["doc_id"], []).append(r)
+    order = [(None, "Null id"), *enumerate(texts)]
+    for (i, t), (_, after) in zip(order, [order[-1], *order[:-1]], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        for r in by_id[i]:
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint_by_force(t), fingerprint_by_force(edited))
+            assert (r["near_edited"], r["near_next"]) == (float(fingerprint_by_force(t) == fingerprint_by_force(edited)), float(fingerprint_by_force(t) == fingerprint_by_force(after)))
+    assert len(by_id[3]) == 2 and by_id[0][0]["class_id"] == 0 and by_id[6][0]["members"] == 2
+
+
 PII = [
     "mail a.b@x.org, or c@d.e_f@g.hi from 10.0.0.1 and 300.1.1.1",
     "card 4111 1111 1111 1111 or 4111-1111-1111-1112, call +1 (974) 555-3436 now",
@@ -169,6 +191,18 @@ def test_private_data(spark):
     assert masked[1] == "card [CARD] or 4111-1111-1111-1112, call [PHONE] now" and masked[6] is None
 
 
+def test_private_data_without_caps(spark):
+    secret = 'secret = "' + "a1" * 150 + '"'
+    runs = " ".join(f"{i % 10000:04d}x" for i in range(20_000))
+    mails = " ".join(f"u{i}@a.org" for i in range(3000))
+    far = "n" * 90 + " at " + "m" * 80 + " dot com"
+    rows = {r["doc_id"]: r for r in pii.find_private(table(spark, [secret, runs, mails, far])).collect()}
+    assert rows[0]["spans"] == f"secret:0:{len(secret)}"
+    assert rows[1]["spans"] == "" and rows[2]["n_email"] == 3000
+    assert rows[2]["base_sha256"] == hashlib.sha256(base_spans(mails).encode()).hexdigest()
+    assert rows[3]["spans"] in ("", f"email:0:{len(far)}")
+
+
 def test_span_model_without_data():
     assert not pii.SpanModel([]).weights.any()
 
@@ -349,6 +383,25 @@ def test_quality_classifier(spark):
     assert classifier.quality_scores(docs, labels.limit(0)).first()["score"] == 0.5
 
 
+def test_quality_classifier_on_held_out_documents(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bdklmnprst" for b in "aeiou" for c in ("n", "ra", "lo", "mi")]
+
+    def text(good):
+        noise = 0.06 if good else 0.22  # overlapping: some good texts are noisier than some bad ones
+        return " ".join(rng.choice(["!!!", "##", "WIN", "x x x"]) if rng.random() < noise * rng.uniform(0.3, 1.7) else rng.choice(words) for _ in range(rng.randint(30, 150)))
+
+    labels = [(i, int(rng.random() < 0.5), 0) for i in range(600)]
+    docs = table(spark, [text(q) for _, q, _ in labels])
+    scored = {r["doc_id"]: r for r in classifier.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(scored[i]["score"], q) for i, q, _ in labels if scored[i]["held_out"]]
+    good, bad = ([s for s, q in held if q == x] for x in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert len(held) > 150 and auc > 0.85
+
+
 def test_archives(spark):
     rows = [(1, "http://a.b/x", "<p>" + "y" * 1200), (2, "https://c.d:443/q?r=1#f", "<p>" + "y" * 1200), (3, None, None), (4, "http://a.b/x", "a\r\n\r\nb"), (5, "u\tv\n", "a\r\n\r\nb")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
@@ -360,6 +413,31 @@ def test_archives(spark):
     assert warc.url_key("https://u@A.b.com:8080/p?q#f") == "com,b,a:8080)/p?q"
 
 
+def test_repeated_windows_at_every_length(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(n)) for n in (1, 2, 3, 4, 5, 8, 13, 40, 300)]
+    texts.append(" ".join(str(rng.randrange(30)) for _ in range(20_000)))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in rules.quality_rules(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = Counter(zip(w, w[1:], w[2:]))
+        assert got[i] == len({i + k for i in range(len(w) - 2) for k in range(3) if windows[tuple(w[i : i + 3])] > 1})
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"{a}{b}{c} the" for a in "bdklm" for b in "aeiou" for c in ("n", "ra", "lo")) + "."
+    rows = [(None, good, "en", "s", None), (5, good, None, None, 3), (5, good, None, None, 3), (6, None, "en", "s", 0), (7, "", "en", "s", 0), (8, good + "\n" + "tail " * 20_000, "en", "s", 1)]
+    for docs in (spark.createDataFrame([], DOCS), clashing(spark.createDataFrame(rows, DOCS))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            assert {r["doc_id"] for r in out.collect()} <= {None, 5, 6, 7, 8}, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("doc_id = 5").count() == (2 if docs.count() else 0)
+
+
 def test_pipeline_keeps_the_columns_of_documents(spark):
     import random
 
