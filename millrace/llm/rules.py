@@ -134,7 +134,8 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     numbers = F.filter(F.transform("_words", lambda w: F.coalesce(F.array_position(F.col("common"), F.lower(w)).cast("int"), F.lit(0))), lambda i: i > 0)
     marks = F.sequence(F.lit(1), F.size("common") + 1)
     rows = rows.withColumn("_numbers", F.when(F.col("common").isNotNull(), F.sort_array(F.concat(numbers, marks))))
-    rows = rows.withColumn("_starts", F.transform(marks, lambda k: F.array_position("_numbers", k)))
+    # Named twice, ``_numbers`` stays a column of its own: inlined, it would be made anew for every mark.
+    rows = rows.withColumn("_starts", F.when(F.size("_numbers") > 0, F.transform(marks, lambda k: F.array_position("_numbers", k))))
     counts = F.zip_with(F.slice("_starts", 2, F.size("common")), F.slice("_starts", 1, F.size("common")), lambda b, a: (b - a - 1).cast("int"))
     rows = rows.withColumn("_counts", F.when(F.col("common").isNotNull(), counts)).withColumn("_found", F.aggregate("_counts", F.lit(0), lambda a, x: a + x))
     chars = F.char_length("_text")
