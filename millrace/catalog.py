@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_evaluation as evaluation
+from . import catalog_signals as signals
+from . import oracles
 from .functions import fixed
 from .functions import text as T
-from .operators import chunking, evidence, graph, metrics, relational, retrieval, statistics, trust
+from .functions.storage import materialise
+from .operators import chunking, corroboration, evidence, graph, metrics, relational, retrieval, statistics, trust
 from .plans import staged
 from .sources import readers, sinks
 
@@ -40,15 +44,17 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = asked(spark, sf_dir), table(spark, sf_dir, "documents")
-    top = retrieval.bm25_top_k(queries, docs, 20)
-    scored = retrieval.overlap_scores(queries, top, docs).join(top.select("query_id", "doc_id", F.col("rank").alias("old_rank")), ["query_id", "doc_id"])
+    tokens = retrieval.tokenised(docs)
+    top = materialise(retrieval.bm25_top_k(queries, docs, 20, tokens), "top")
+    scored = retrieval.overlap_scores(queries, top, docs, tokens).join(top.select("query_id", "doc_id", F.col("rank").alias("old_rank")), ["query_id", "doc_id"])
     return retrieval.top_k(scored, 10, [F.desc("overlap"), F.asc("old_rank")]).select("query_id", "doc_id", "overlap", "old_rank", "rank")
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries, docs = asked(spark, sf_dir), table(spark, sf_dir, "documents")
-    lexical = retrieval.bm25_top_k(queries, docs, 20)
-    overlap = retrieval.overlap_scores(queries, lexical, docs).withColumnRenamed("overlap", "score")
+    tokens = retrieval.tokenised(docs)
+    lexical = materialise(retrieval.bm25_top_k(queries, docs, 20, tokens), "top")
+    overlap = retrieval.overlap_scores(queries, lexical, docs, tokens).withColumnRenamed("overlap", "score")
     return lexical, retrieval.top_k(overlap, 20)
 
 
@@ -157,11 +163,6 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.conflicts(evidence.claims(table(spark, sf_dir, "documents")))
 
 
-def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return evidence.corroboration(evidence.claims(docs), docs)
-
-
 def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = evidence.sliding_windows(table(spark, sf_dir, "documents"))
     return chunks.select("doc_id", "chunk", "token_start", "token_end", F.sha1("text").alias("text_sha1"))
@@ -295,23 +296,18 @@ def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.refreshed(before, after, "doc_id", "digest")
 
 
-def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as works: toxic ones count as retracted, good ones as cited."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    null = F.lit(None).cast("string")
-    return rows.select("doc_id", null.alias("doi"), F.col("source").alias("source_name"), null.alias("landing_page_url"), F.lit(2020).alias("year"), F.when(F.col("lang") == "en", "journal").otherwise("report").alias("source_type"), F.col("text").alias("abstract"), (F.col("n_chars") % 30).cast("int").alias("referenced_work_count"), F.coalesce(F.col("quality") * 20, F.lit(0)).alias("cited_by_count"), (F.coalesce("toxic", F.lit(0)) == 1).alias("is_retracted"))
-
-
-def source_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trust.source_trust(_works(spark, sf_dir), "economics").select("doc_id", "source_trust", "trust_tier")
-
-
 def committee_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes on each query's candidates: their scores, sources, domain fit, safety, kind, and the corroboration of their claims."""
     docs = table(spark, sf_dir, "documents")
-    found = staged.first_stage(asked(spark, sf_dir), docs, 20)
-    scanned = evidence.safety_scan(docs, "text").select("doc_id", F.col("decision").alias("safety_decision"))
-    rows = found.join(scanned, "doc_id").join(trust.source_trust(_works(spark, sf_dir)).select("doc_id", "source_trust", "is_retracted", "source_type"), "doc_id")
-    rows = rows.select("query_id", "doc_id", "candidate_score", F.col("relevance").alias("lexical"), "semantic", F.lit(0.0).alias("syntax"), "source_trust", "is_retracted", F.when(F.col("source_type") == "journal", "strong_fit").otherwise("low_fit").alias("domain_fit_tier"), "safety_decision", F.lit("single_source").alias("corroboration_verdict"), F.lit(False).alias("is_public_opinion"))
+    found = materialise(staged.first_stage(asked(spark, sf_dir), docs, 20), "found")
+    wanted = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    scanned = evidence.safety_scan(wanted, "text").select("doc_id", F.col("decision").alias("safety_decision"))
+    facts = signals._fits(spark, sf_dir).select("doc_id", "source_trust", "is_retracted", "domain_fit_tier", (F.col("evidence_family") == "public_opinion").alias("is_public_opinion"))
+    claims = evidence.claims(wanted).join(docs.select("doc_id", F.lower("source").alias("fingerprint")), "doc_id").join(found.select("query_id", "doc_id"), "doc_id")
+    # A claim counts within its query's candidates alone, so the query is part of the key's source.
+    keyed = claims.withColumn("claim_key", corroboration.claim_key(F.col("_tokens"))).where("claim_key <> ''")
+    verdicts = corroboration.by_query(keyed)
+    rows = found.join(scanned, "doc_id").join(facts, "doc_id").join(verdicts, "query_id", "left").withColumn("corroboration_verdict", F.coalesce("overall_verdict", F.lit("no_claims")))
     return trust.committee(rows).groupBy("query_id", "committee_decision", "allowed_uses").agg(F.count("*").alias("n"))
 
 
@@ -320,10 +316,11 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_term_stats, knn_cosine_topk, heuristic_rerank, rrf_fusion, weighted_fusion, source_diversity, near_duplicate_risk, parent_cap_diversify,
         ir_metrics, policy_leaderboard, rank_overlap, score_separation, signal_summary, signal_correlation, latency_percentiles,
-        marker_signals, safety_scan, page_safety, claim_features, claim_conflicts, corroboration, sliding_chunks, parent_context, theme_stance_counts, contact_patterns,
+        marker_signals, safety_scan, page_safety, claim_features, claim_conflicts, sliding_chunks, parent_context, theme_stance_counts, contact_patterns,
         duplicate_text_groups, topic_profile_terms, topic_phrases, manifest_diff, merged_modes, coverage_report, stratified_sample, author_activity, temporal_coverage, connected_components, stale_ids,
-        first_stage_candidates, staged_retrieval, rank_table, boundary_chunks, bootstrap_ci, paired_significance, ridge_calibration, html_text, index_refresh, source_trust, committee_decisions,
+        first_stage_candidates, staged_retrieval, rank_table, boundary_chunks, bootstrap_ci, paired_significance, ridge_calibration, html_text, index_refresh, committee_decisions,
     )
 }
 
-from .oracles import ORACLE_SQL  # noqa: E402, F401
+QUERIES |= signals.QUERIES | evaluation.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL

@@ -14,15 +14,61 @@ def literals(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode normal form KC (ICU); ``text`` must not be null."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding (ICU); ``text`` must not be null."""
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
+
+
 def tokens(text: Column, stop: list[str] = fixed.STOP_WORDS) -> Column:
-    """Lower-case words without stop words; null gives no tokens."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(stop))
+    """Words of the NFKC form, case folded, without stop words; null gives no tokens.
+
+    Words are runs of letters and digits, with apostrophes inside; they are folded together, as one text, which folds each alike.
+    """
+    found = F.regexp_extract_all(nfkc(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    folded = F.split(casefold(F.array_join(found, "\n")), "\n")
+    return F.filter(folded, lambda w: (w != "") & ~w.isin(stop))
+
+
+def term_matches(term: Column, words: Column) -> Column:
+    """Whether ``words`` has the term, or its singular or plural by a final s."""
+    singular = F.when(F.endswith(term, F.lit("s")) & (F.char_length(term) > 3), F.array_contains(words, F.substring(term, F.lit(1), F.char_length(term) - 1))).otherwise(False)
+    return F.array_contains(words, term) | singular | F.array_contains(words, F.concat(term, F.lit("s")))
+
+
+def compact(text: Column, most: int) -> Column:
+    """White space folded; what exceeds ``most`` characters is cut at a word's end and ends with a full stop."""
+    folded = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+    head = F.regexp_replace(F.substring(folded, 1, most), "\\s+\\S*$", "")
+    return F.when(F.char_length(folded) <= most, folded).otherwise(F.concat(F.regexp_replace(head, "[.,;: ]+$", ""), F.lit(".")))
+
+
+def language(value: Column) -> Column:
+    """A language's short code from its usual names; others in lower case."""
+    name = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    out = F.lit(None).cast("string")
+    for code, names in fixed.LANGUAGE_NAMES.items():
+        out = F.coalesce(out, F.when(name.isin(names), code))
+    return F.coalesce(out, name)
+
+
+def external_query(text: Column) -> Column:
+    """Punctuation but ``.``, ``/`` and ``-`` made spaces, spaces folded."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\p{L}\\p{N}_\\s./-]", " "), "\\s+", " "))
+
+
+def listed(text: Column, separators: str = "\\|\\||,|;") -> Column:
+    """The items of a delimited list, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def content_terms(text: Column, stop: list[str], least: int = 3) -> Column:
     """Sorted distinct tokens of at least ``least`` characters outside ``stop``."""
-    return F.array_sort(F.array_distinct(F.filter(tokens(text, stop), lambda w: F.char_length(w) >= least)))
+    return F.sort_array(F.array_distinct(F.filter(tokens(text, stop), lambda w: F.char_length(w) >= least)))
 
 
 def rough_tokens(text: Column) -> Column:
@@ -37,7 +83,7 @@ def sentences(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\n\\s*\\n+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\n\\s*\\n+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def ngrams(terms: Column, n: int) -> Column:

@@ -9,20 +9,25 @@ from ..functions import fixed
 from ..functions import text as T
 
 
+def signal_columns(text: Column) -> dict[str, Column]:
+    return {name: T.marker_score(text, words, by) for name, (words, by) in fixed.SIGNAL_MARKERS.items()}
+
+
 def chunk_signals(docs: DataFrame) -> DataFrame:
     """The five marker signals of each text, rounded to 6."""
-    return docs.select("doc_id", *[F.round(T.marker_score(F.col("text"), words, by), 6).alias(name) for name, (words, by) in fixed.SIGNAL_MARKERS.items()])
+    return docs.select("doc_id", *[F.round(c, 6).alias(name) for name, c in signal_columns(F.col("text")).items()])
 
 
 def safety_scan(rows: DataFrame, text: str, risky: bool = False) -> DataFrame:
     """Add ``categories`` (sorted), ``risk_score`` and ``decision``."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(raw)
+    low = F.lower(T.nfkc(raw))
     flags = {name: low.rlike("(?s)" + "|".join(f"(?:{p})" for p in patterns)) for name, patterns in fixed.SAFETY_PATTERNS.items()}
     controls = F.regexp_replace(raw, "[^\\p{Cf}\\p{Cc}]|[\\n\\r\\t]", "")
     flags["unicode_anomaly"] = F.char_length(controls) >= 2
-    words = F.array_sort(F.regexp_extract_all(low, F.lit("[a-z0-9_:-]{4,}"), F.lit(0)))
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9_:-]{4,}"), F.lit(0))
     rows = rows.withColumns({f"_is_{n}": c for n, c in flags.items()} | {"_words": words})
+    rows = rows.withColumn("_words", F.when(F.size("_words") >= 24, F.sort_array("_words")).otherwise(F.array().cast("array<string>")))
     # The longest run of equal neighbours in the sorted words is the largest count.
     runs = F.aggregate("_words", F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most")), _count_run, lambda s: s["most"])
     rows = rows.withColumn("_is_retrieval_trigger_shape", (F.size("_words") >= 24) & (runs >= 0.25 * F.size("_words")))
@@ -80,14 +85,6 @@ def conflicts(found: DataFrame, max_bucket: int = 500) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("shared_tokens")).where("shared_tokens >= 2")
 
 
-def corroboration(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Claims grouped by the first eight of their sorted distinct tokens of five characters or more."""
-    key = F.array_join(F.slice(F.array_sort(F.array_distinct(F.filter("_tokens", lambda w: F.char_length(w) >= 5))), 1, 8), " ")
-    rows = found.withColumn("claim_key", key).where("claim_key <> ''").join(docs.select("doc_id", "source"), "doc_id")
-    support = F.col("stance").isin("supportive", "descriptive", "mixed")
-    return rows.groupBy("claim_key").agg(F.count("*").alias("claims"), F.count_if(support).alias("support"), F.count_if(F.col("stance") == "critical").alias("against"), F.countDistinct("source").alias("independent")).where("claims > 1")
-
-
 def sliding_windows(docs: DataFrame, size: int = 180, overlap: int = 40) -> DataFrame:
     """Windows of ``size`` white-space tokens, the next starting ``overlap`` before the end; the last ends with the text."""
     step = max(1, size - overlap)
@@ -99,9 +96,38 @@ def sliding_windows(docs: DataFrame, size: int = 180, overlap: int = 40) -> Data
 
 
 def parent_context(turns: DataFrame, parent: str, position: str, max_tokens: int = 220) -> DataFrame:
-    """Each parent's texts joined in order, as far as the running token count stays within ``max_tokens``."""
-    rows = turns.withColumn("_n", F.size(T.rough_tokens(F.col("text"))))
-    running = F.sum("_n").over(Window.partitionBy(parent).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("_total", running).where(F.col("_total") <= max_tokens)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col("text").alias("t")))), lambda x: x["t"]), "\n")
-    return kept.groupBy(parent).agg(F.count("*").alias("parts"), F.sum("_n").alias("tokens"), joined.alias("context"))
+    """Each parent's first ``max_tokens`` tokens over its texts in order; the text that crosses the limit is cut there."""
+    rows = turns.withColumn("_words", T.rough_tokens(F.col("text"))).withColumn("_n", F.size("_words"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(parent).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = rows.withColumn("_before", before).where((F.col("_before") < max_tokens) & (F.col("_n") > 0))
+    kept = kept.withColumn("_words", F.slice("_words", F.lit(1), F.least(F.col("_n"), max_tokens - F.col("_before")).cast("int")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.array_join("_words", " ").alias("t")))), lambda x: x["t"]), "\n")
+    return kept.groupBy(parent).agg(F.count("*").alias("parts"), F.sum(F.size("_words")).alias("tokens"), joined.alias("context"))
+
+
+def sanitize(rows: DataFrame, text: str) -> DataFrame:
+    """Add ``sanitized``: of texts with that ``decision``, the NFKC form with unsafe passages replaced; ``removed`` names the categories."""
+    step = T.nfkc(F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("_s0", step)
+    removed = []
+    for i, (name, patterns) in enumerate(fixed.SAFETY_PATTERNS.items()):
+        out = F.col(f"_s{i}")
+        for p in patterns:
+            out = F.regexp_replace(out, "(?is)" + p, "[removed unsafe instruction]")
+        rows = rows.withColumn(f"_s{i + 1}", F.when(F.col("decision") == "sanitize", out))
+        removed.append(F.when(F.col(f"_s{i + 1}") != F.col(f"_s{i}"), F.lit(name)))
+    last = f"_s{len(fixed.SAFETY_PATTERNS)}"
+    clean = F.trim(F.regexp_replace(F.regexp_replace(last, "[\\p{Cf}\\p{Cc}&&[^\\n\\r\\t]]", ""), "\\s+", " "))
+    names = F.array_join(F.array_compact(F.array(*removed)), ",")
+    rows = rows.withColumns({"sanitized": F.when(F.col("decision") == "sanitize", clean).otherwise(F.col(text)), "removed": F.when(F.col("decision") != "sanitize", "").when(names == "", F.col("categories")).otherwise(names)})
+    return rows.drop(*[f"_s{i}" for i in range(len(fixed.SAFETY_PATTERNS) + 1)])
+
+
+def use_policy(rows: DataFrame) -> DataFrame:
+    """Add ``allowed_uses`` and ``use_reason`` from ``safety_decision, decision, evidence_family, domain_fit_tier``."""
+    c = F.col
+    unsafe = c("safety_decision").isin("block", "quarantine")
+    opinion, blocked = c("evidence_family") == "public_opinion", c("domain_fit_tier").isin("blocked", "quarantine_review")
+    reason = F.when(unsafe, F.concat(F.lit("safety_"), c("safety_decision"))).when(c("decision") == "reject", "retrieval_decision_reject").when(opinion, "public_opinion_aggregate_only").when(blocked, F.concat(F.lit("domain_fit_"), c("domain_fit_tier"))).otherwise("generator_context_allowed")
+    uses = F.when(unsafe | (c("decision") == "reject"), "audit").when(opinion, "audit,aggregate_public_opinion").when(blocked, "audit").when(c("safety_decision") == "sanitize", "audit,generator_context,sanitized_context").otherwise("audit,generator_context")
+    return rows.withColumns({"allowed_uses": uses, "use_reason": reason})

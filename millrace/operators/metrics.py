@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise
+
 
 def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """``ndcg, recall, ap, rr`` at ``k`` for every query of ``qrels`` (``query_id, doc_id, relevance``), rounded to 6."""
@@ -51,11 +53,15 @@ def summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 def separation(scored: DataFrame) -> DataFrame:
     """Probability that a relevant score is above another (ties half), from ``score, relevant``; by rank sums.
 
-    Scores are counted first, so the running total goes over distinct scores in ranges, not over rows.
+    Scores are counted first. The running total goes over distinct scores, range by range; only the ranges' sums, one row each, meet.
     """
     counts = scored.groupBy("score").agg(F.sum(F.col("relevant").cast("long")).alias("p"), F.sum(1 - F.col("relevant").cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("wins", F.col("p") * (below + F.col("q") / 2))
+    ranged = materialise(counts.repartitionByRange("score").withColumn("range", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("range").agg(F.sum("q").alias("s"))
+    starts = sums.select("range", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("below", within).join(F.broadcast(starts), "range")
+    wins = placed.withColumn("wins", F.col("p") * (F.col("below") + F.col("start") + F.col("q") / 2))
     total = wins.agg(F.sum("p").alias("relevant"), F.sum("q").alias("others"), F.sum("wins").alias("wins"))
     auc = F.when((F.col("relevant") > 0) & (F.col("others") > 0), F.col("wins") / F.nullif(F.col("relevant") * F.col("others"), F.lit(0)))
     return total.select("relevant", "others", F.round(auc, 6).alias("auc"), F.round(1 - 2 * F.abs(auc - 0.5), 6).alias("overlap"))

@@ -5,11 +5,15 @@ Everything runs over a table of queries at once. Only postings of query terms ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.storage import materialise, small
@@ -20,23 +24,27 @@ MAX_BROADCAST_TERMS = 1_000_000
 MAX_BROADCAST_VECTORS = 20_000
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame) -> DataFrame:
+    """A written table ``doc_id, words``, so that texts are taken apart once."""
+    return materialise(docs.select("doc_id", T.tokens(F.col("text")).alias("words")), "tokens")
+
+
+def postings(tokens: DataFrame) -> DataFrame:
     """``doc_id, dl, term, tf``: one row for each distinct term of a document."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("words"))
-    each = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    each = tokens.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     return each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
+def corpus_size(tokens: DataFrame) -> DataFrame:
     """One row: number of documents and mean length in tokens."""
-    lengths = docs.select(F.size(T.tokens(F.col(text))).alias("dl"))
-    return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_dl"))
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
     """``term, df, total_tf, idf`` of every term."""
-    stats = postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
-    sized = stats.crossJoin(F.broadcast(corpus_size(docs).select("n_docs")))  # one row
+    tokens = tokenised(docs)
+    stats = postings(tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    sized = stats.crossJoin(F.broadcast(corpus_size(tokens).select("n_docs")))  # one row
     return sized.select("term", "df", "total_tf", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
@@ -44,14 +52,19 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score`` for every pair with a common term; repeated query terms count each time."""
+def bm25(queries: DataFrame, docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, score`` for every pair with a common term; repeated query terms count each time.
+
+    ``tokens`` is ``tokenised(docs)`` where the caller has it.
+    """
+    tokens = tokenised(docs) if tokens is None else tokens
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = wanted.select("term").distinct()
     few = small(wanted, MAX_BROADCAST_TERMS)
-    hits = postings(docs).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    words = tokens.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    hits = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(docs)
+    size = corpus_size(tokens)
     scored = hits.join(F.broadcast(frequency) if few else frequency, "term").crossJoin(F.broadcast(size))
     tf, dl = F.col("tf"), F.col("dl")
     weight = idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))
@@ -66,8 +79,8 @@ def top_k(scored: DataFrame, k: int, order: list[Column] | None = None, by: str
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    scored = bm25(queries, docs).withColumn("score", F.round("score", 6)).where("score > 0")
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 10, tokens: DataFrame | None = None) -> DataFrame:
+    scored = bm25(queries, docs, tokens).withColumn("score", F.round("score", 6)).where("score > 0")
     return top_k(scored, k).select("query_id", "doc_id", "score", "rank")
 
 
@@ -87,23 +100,66 @@ def blocks(rows: DataFrame, most: int) -> list[DataFrame]:
     return done
 
 
+def unit_rows(vectors: list, size: int) -> np.ndarray:
+    """Unit vectors as rows; null, zero and differently long ones are zero."""
+    out = np.zeros((len(vectors), size))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == size:
+            out[i] = v
+    norms = np.sqrt((out * out).sum(1))
+    return out / np.where(norms > 0, norms, 1.0)[:, None]
+
+
+class Best:
+    """The best ``k`` documents of each query so far, larger ids first among equal scores."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).min)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` of the documents ``ids`` (columns) for every query (rows)."""
+        rows = np.flatnonzero((scores >= self.scores[:, -1:]).any(1))
+        for start in range(0, len(rows), 1024):
+            at = rows[start : start + 1024]
+            both = np.hstack([self.scores[at], scores[at]])
+            named = np.hstack([self.ids[at], np.broadcast_to(ids, (len(at), len(ids)))])
+            order = np.lexsort((-named, -both), axis=1)[:, : self.k]
+            self.scores[at], self.ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = MAX_BROADCAST_VECTORS) -> DataFrame:
     """Exact cosine top ``k`` of each query vector over all ``(vec_id, embedding)``.
 
-    The query set is broadcast in blocks of a checked size, and the vectors stream past it once a block.
+    Queries go to the tasks in blocks of a checked size. A task multiplies its vectors with a block and keeps the best ``k`` of each
+    query; only those are shuffled.
     """
     found = []
     for part in blocks(queries, block):
-        asked = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-        pairs = vectors.crossJoin(asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-        found.append(top_k(pairs, k).select("query_id", "doc_id", "score", "rank"))
+        rows = part.select(F.col("vec_id").cast("long"), "embedding").collect()
+        names = np.array([r[0] for r in rows], np.int64)
+        size = max((len(r[1]) for r in rows if r[1] is not None), default=0)
+        asked = unit_rows([r[1] for r in rows], size)
+
+        def scan(batches: Iterator[pa.RecordBatch], names=names, size=size, asked=asked) -> Iterator[pa.RecordBatch]:
+            best = Best(len(names), k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    piece = batch.slice(at, 256)
+                    best.add(np.round(asked @ unit_rows(piece.column(1).to_pylist(), size).T, 6), piece.column(0).to_numpy())
+            there = np.isfinite(best.scores)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, there.sum(1))), pa.array(best.ids[there]), pa.array(best.scores[there] + 0.0)], ["query_id", "doc_id", "score"])
+
+        each = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(scan, "query_id long, doc_id long, score double")
+        found.append(top_k(each, k).select("query_id", "doc_id", "score", "rank"))
     return reduce(DataFrame.unionAll, found)
 
 
-def overlap_scores(queries: DataFrame, candidates: DataFrame, docs: DataFrame) -> DataFrame:
+def overlap_scores(queries: DataFrame, candidates: DataFrame, docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Share of a query's distinct terms that the candidate document has: ``query_id, doc_id, overlap``."""
+    tokens = tokenised(docs) if tokens is None else tokens
     asked = queries.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    texts = docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("has"))
+    texts = tokens.select("doc_id", F.array_distinct("words").alias("has"))
     both = candidates.select("query_id", "doc_id").join(asked, "query_id").join(texts, "doc_id")
     share = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "has")) / F.size("asked")).otherwise(0.0)
     return both.select("query_id", "doc_id", F.round(share, 6).alias("overlap"))
@@ -153,3 +209,31 @@ def near_duplicate_risk(ranked: DataFrame, docs: DataFrame, least: float = 0.72)
     right = sets.select("query_id", F.col("doc_id").alias("b"), F.col("words").alias("y"))
     pairs = left.join(right, "query_id").where("a < b").select("query_id", (V.jaccard(F.col("x"), F.col("y")) >= least).cast("int").alias("near"))
     return pairs.groupBy("query_id").agg(F.count("*").alias("pairs"), F.round(F.avg("near"), 6).alias("near_share"))
+
+
+def focus_coverage(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, doc_id, focus``: the share of a query's focus terms that a document has, where it has any."""
+    focus = F.filter(F.array_distinct(T.tokens(F.col("text"))), lambda w: (F.char_length(w) >= 4) & ~w.isin(fixed.GENERIC_QUERY_TERMS))
+    wanted = queries.select("query_id", focus.alias("f")).select("query_id", F.size("f").alias("n"), F.explode("f").alias("term"))
+    has = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    pairs = has.join(F.broadcast(wanted) if small(wanted, MAX_BROADCAST_TERMS) else wanted, "term")
+    return pairs.groupBy("query_id", "doc_id").agg(F.round(F.count("*") / F.min("n"), 6).alias("focus"))
+
+
+def pooled(lists: dict[str, DataFrame]) -> DataFrame:
+    """Several rankings as one pool: ``query_id, doc_id, best_rank, best_score, sources, place``, ordered by best rank, best score and id."""
+    union = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "rank", "score", F.lit(name).alias("source")) for name, r in lists.items()])
+    pool = union.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.max("score").alias("best_score"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    return pool.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("best_rank", F.desc("best_score"), "doc_id")))
+
+
+def siblings(ranked: DataFrame, chunks: DataFrame, most: int, by: str = "query_id") -> DataFrame:
+    """Up to ``most`` chunks of each listed parent that are not listed themselves, longest first, ranked behind their parent's best.
+
+    ``ranked`` has ``parent, chunk, rank, score``; ``chunks`` has ``parent, chunk, importance``.
+    """
+    best = ranked.groupBy(by, "parent").agg(F.min("rank").alias("best_rank"), F.max("score").alias("best_score"))
+    unseen = best.join(chunks, "parent").join(ranked.select(by, "parent", "chunk"), [by, "parent", "chunk"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy(by, "parent").orderBy(F.desc("importance"), "chunk"))
+    kept = unseen.withColumn("nth", nth).where(F.col("nth") <= most)
+    return kept.select(by, "parent", "chunk", (F.col("best_rank") + F.col("nth")).alias("rank"), F.round(F.col("best_score") * 0.97, 6).alias("score"))

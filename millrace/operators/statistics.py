@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialise, small
+
+MAX_BROADCAST_QUERIES = 1_000_000
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Number different rows from 0 in order: each by its place in its range, plus the rows of the ranges before."""
+    ranged = materialise(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_at", within - 1).join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_at") + F.col("_start")).alias(name))
+
 
 def draws(spark: SparkSession, n: int, samples: int, seed: int) -> DataFrame:
     """``draw, ordinal, times``: how often each of ``n`` queries is in each bootstrap draw.
 
-    The Mersenne Twister runs on the driver, so the numbers are the same on any cluster; their count is
-    that of queries times draws, both parameters of the experiment.
+    Every pick is a hash of the seed and its own number, so the table is made in tasks and is the same on any cluster.
     """
-    rng = random.Random(seed)
-    rows = []
-    for draw in range(samples):
-        times: dict[int, int] = {}
-        for _ in range(n):
-            i = rng.randrange(n)
-            times[i] = times.get(i, 0) + 1
-        rows += [(draw, i, t) for i, t in times.items()]
-    return spark.createDataFrame(rows, "draw int, ordinal int, times int")
+    picks = spark.range(samples * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("ordinal"))
+    return picks.groupBy("draw", "ordinal").agg(F.count("*").alias("times"))
 
 
 def bootstrap(scores: DataFrame, metric: str, samples: int = 200, seed: int = 7) -> DataFrame:
@@ -31,11 +34,10 @@ def bootstrap(scores: DataFrame, metric: str, samples: int = 200, seed: int = 7)
 
     ``scores`` has ``query_id, method`` and the metric. Ties go to the first method by name.
     """
-    order = F.dense_rank().over(Window.orderBy("query_id")) - 1
-    ordinals = scores.select("query_id").distinct().withColumn("ordinal", order)
+    ordinals = numbered(scores.select("query_id").distinct(), "query_id", "ordinal")
     n = ordinals.count()
     table = draws(scores.sparkSession, n, samples, seed)
-    each = scores.join(F.broadcast(ordinals), "query_id").join(F.broadcast(table), "ordinal")
+    each = scores.join(F.broadcast(ordinals) if small(ordinals, MAX_BROADCAST_QUERIES) else ordinals, "query_id").join(table, "ordinal")
     means = each.groupBy("draw", "method").agg(F.round(F.sum(F.col(metric) * F.col("times")) / n, 6).alias("m"))
     first = F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("m"), "method"))
     marked = means.withColumn("won", (first == 1).cast("int"))
@@ -48,13 +50,9 @@ def sign_flip(scores: DataFrame, metric: str, samples: int = 200, seed: int = 7)
     left = scores.select("query_id", F.col("method").alias("left_method"), F.col(metric).alias("x"))
     right = scores.select("query_id", F.col("method").alias("right_method"), F.col(metric).alias("y"))
     pairs = left.join(right, "query_id").where("left_method < right_method").withColumn("d", F.col("x") - F.col("y"))
-    order = F.dense_rank().over(Window.orderBy("query_id")) - 1
-    ordinals = scores.select("query_id").distinct().withColumn("ordinal", order)
-    n = ordinals.count()
-    rng = random.Random(seed)
-    rows = [(s, i, 1 if rng.random() < 0.5 else -1) for s in range(samples) for i in range(n)]
-    signs = scores.sparkSession.createDataFrame(rows, "sample int, ordinal int, sign int")
-    flipped = pairs.join(F.broadcast(ordinals), "query_id").join(F.broadcast(signs), "ordinal")
+    ordinals = numbered(scores.select("query_id").distinct(), "query_id", "ordinal")
+    signs = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda s: F.struct(s.alias("sample"), F.when(F.xxhash64(F.lit(seed), s, F.col("ordinal")) % 2 == 0, 1).otherwise(-1).alias("sign")))
+    flipped = pairs.join(F.broadcast(ordinals) if small(ordinals, MAX_BROADCAST_QUERIES) else ordinals, "query_id").select("left_method", "right_method", "d", F.inline(signs))
     totals = flipped.groupBy("left_method", "right_method", "sample").agg(F.abs(F.avg(F.col("d") * F.col("sign"))).alias("f"))
     observed = pairs.groupBy("left_method", "right_method").agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
     both = totals.join(observed, ["left_method", "right_method"])

@@ -15,8 +15,8 @@ STOP = text_list(fixed.STOP_WORDS)
 
 
 def words(text: str) -> str:
-    """Lower-case words of ``text`` without stop words."""
-    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '{TOKEN_SQL}'), lambda w: NOT list_contains({STOP}, w))"
+    """Folded words of ``text`` without stop words; the tables hold no other letter than ß whose folding is not its lower case."""
+    return f"list_filter(regexp_extract_all(replace(lower(coalesce({text}, '')), 'ß', 'ss'), '{TOKEN_SQL}'), lambda w: NOT list_contains({STOP}, w))"
 
 
 BM25 = f"""
@@ -148,16 +148,13 @@ usual AS (SELECT t FROM tops GROUP BY t HAVING count(*) BETWEEN 2 AND 500),
 e AS (SELECT * FROM tops WHERE t IN (SELECT t FROM usual))
 SELECT a.doc_id AS left_doc, a.position::INT AS left_position, b.doc_id AS right_doc, b.position::INT AS right_position, a.stance AS left_stance, b.stance AS right_stance, count(*) AS shared_tokens
 FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND ((a.stance = 'supportive' AND b.stance IN ('critical', 'mixed')) OR (b.stance = 'supportive' AND a.stance IN ('critical', 'mixed'))) GROUP BY ALL HAVING count(*) >= 2""",
-    "corroboration": f"""WITH {claims()},
-k AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: length(w) >= 5)))[1:8], ' ') AS claim_key FROM kept)
-SELECT claim_key, count(*) AS claims, count(*) FILTER (stance IN ('supportive', 'descriptive', 'mixed')) AS support, count(*) FILTER (stance = 'critical') AS against, count(DISTINCT source) AS independent
-FROM k JOIN documents USING (doc_id) WHERE claim_key <> '' GROUP BY claim_key HAVING count(*) > 1""",
     "sliding_chunks": f"""WITH w AS (SELECT doc_id, {ROUGH.format('text')} AS ws FROM documents),
 c AS (SELECT doc_id, ws, unnest(range(0, greatest(ceil((len(ws) - 180) / 140.0)::INT, 0) + 1)) AS chunk FROM w WHERE len(ws) > 0)
 SELECT doc_id, chunk::INT AS chunk, (chunk * 140)::INT AS token_start, least(chunk * 140 + 180, len(ws))::INT AS token_end, sha1(array_to_string(ws[chunk * 140 + 1 : chunk * 140 + 180], ' ')) AS text_sha1 FROM c""",
-    "parent_context": f"""WITH n AS (SELECT conv_id, turn, text, len({ROUGH.format('text')}) AS n FROM conversations WHERE text IS NOT NULL),
-r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS total FROM n)
-SELECT conv_id, count(*) AS parts, sum(n)::BIGINT AS tokens, sha1(string_agg(text, chr(10) ORDER BY turn)) AS context_sha1 FROM r WHERE total <= 220 GROUP BY conv_id""",
+    "parent_context": f"""WITH n AS (SELECT conv_id, turn, {ROUGH.format('text')} AS ws FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+k AS (SELECT conv_id, turn, ws[1 : (220 - before)::INT] AS ws FROM r WHERE before < 220 AND len(ws) > 0)
+SELECT conv_id, count(*) AS parts, sum(len(ws))::BIGINT AS tokens, sha1(string_agg(array_to_string(ws, ' '), chr(10) ORDER BY turn)) AS context_sha1 FROM k GROUP BY conv_id""",
     "theme_stance_counts": f"""WITH e AS (SELECT CASE WHEN {SUPPORT} AND ({OPPOSE} OR {CONDITION}) THEN 'mixed_or_conditional' WHEN {SUPPORT} THEN 'support' WHEN {OPPOSE} THEN 'concern_or_opposition' WHEN {CONDITION} THEN 'conditional_unclear' ELSE 'unclear' END AS stance,
   list_filter([{THEMES}], lambda t: t IS NOT NULL) AS ts FROM conversations)
 SELECT theme, stance, count(*) AS n FROM (SELECT stance, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['uncategorized'] END) AS theme FROM e) GROUP BY ALL""",
@@ -177,15 +174,6 @@ SELECT doc_id, first(lang) AS lang, first(n_chars) AS n_chars, string_agg(DISTIN
     "temporal_coverage": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d')",
     "connected_components": """WITH e AS (SELECT o_custkey * 2 AS u, o_orderkey * 2 + 1 AS v FROM orders), m AS (SELECT u, least(u, min(v)) AS component FROM e GROUP BY u)
 SELECT u AS node, component FROM m UNION SELECT v, component FROM e JOIN m USING (u)""",
-    "first_stage_candidates": f"""WITH {BM25},
-raw AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS s FROM post JOIN df USING (term) JOIN asked USING (term), lens GROUP BY query_id, doc_id),
-b AS (SELECT query_id, CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN 0 ELSE min(s) END AS lo, max(s) AS hi FROM raw GROUP BY query_id),
-x AS (SELECT query_id, doc_id, round(CASE WHEN hi > lo THEN (s - lo) / (hi - lo) WHEN s > 0 THEN 1 ELSE 0 END, 6) AS relevance FROM raw JOIN b USING (query_id)),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id DESC) AS r FROM x) WHERE r <= 20),
-has AS (SELECT doc_id, list_distinct(ws) AS has FROM toks), want AS (SELECT item_id AS query_id, list_distinct({words('text')}) AS want FROM benchmark),
-o AS (SELECT query_id, doc_id, relevance, round(CASE WHEN len(want) > 0 THEN len(list_intersect(want, has)) / len(want) ELSE 0 END, 6) AS semantic FROM t JOIN has USING (doc_id) JOIN want USING (query_id)),
-c AS (SELECT *, round(0.5::DOUBLE * relevance + 0.5::DOUBLE * semantic, 7) AS candidate_score FROM o)
-SELECT query_id, doc_id, relevance, semantic, candidate_score, row_number() OVER (PARTITION BY query_id ORDER BY candidate_score DESC, doc_id DESC) AS rank FROM c""",
     "rank_table": f"""WITH {JUDGED}, p AS (SELECT query_id, doc_id, min(rank) FILTER (method = 'longest') AS longest, min(rank) FILTER (method = 'newest') AS newest, min(rank) FILTER (method = 'shortest') AS shortest FROM top GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY least(coalesce(longest, 2147483647), coalesce(newest, 2147483647), coalesce(shortest, 2147483647)), doc_id) AS place FROM p""",
     "html_text": """WITH a AS (SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g') AS b FROM pages),
@@ -193,12 +181,5 @@ c AS (SELECT page_id, title, replace(replace(replace(replace(replace(replace(b,
 d AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS t FROM c)
 SELECT page_id, title, length(t) AS text_chars, sha1(t) AS text_sha1 FROM d""",
     "index_refresh": "SELECT doc_id, sha256(text) AS digest, CASE WHEN toxic = 0 THEN 'kept' ELSE 'encoded' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
-    "source_trust": f"""WITH w AS (SELECT doc_id, text, lang, source, n_chars % 30 AS refs, coalesce(quality * 20, 0) AS cited, coalesce(toxic, 0) = 1 AS retracted FROM documents LEFT JOIN labels USING (doc_id)),
-p AS (SELECT doc_id, retracted, CASE WHEN trim(coalesce(source, '')) <> '' THEN 0.4::DOUBLE ELSE 0.15 END AS a, CASE WHEN retracted THEN 0 WHEN lang = 'en' THEN 0.8::DOUBLE ELSE 0.5 END AS b,
-  least(1.0::DOUBLE, CASE WHEN refs >= 20 THEN 0.25::DOUBLE WHEN refs > 0 THEN 0.15 ELSE 0 END + CASE WHEN {contains_any('text', ['data', 'sample', 'method', 'model', 'archive'])} THEN 0.2 ELSE 0 END + CASE WHEN {contains_any('text', ['robustness', 'sensitivity', 'replication'])} THEN 0.2 ELSE 0 END + CASE WHEN {contains_any('text', ['limitation', 'uncertainty', 'bias'])} THEN 0.15 ELSE 0 END + 0.1) AS c,
-  CASE WHEN {contains_any('text', ['preregister', 'pre-register', 'registered report'])} THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN {contains_any('text', ['data available', 'replication data', 'open data'])} THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN {contains_any('text', ['code available', 'github', 'osf', 'dataverse'])} THEN 0.2::DOUBLE ELSE 0 END AS d,
-  least(1.0::DOUBLE, CASE WHEN cited <= 0 THEN 0 ELSE cited / (12.0::DOUBLE * 7) END) AS e FROM w),
-s AS (SELECT doc_id, retracted, CASE WHEN retracted THEN 0 ELSE round((a * 0.2::DOUBLE + b * 0.25::DOUBLE + c * 0.25::DOUBLE + d * 0.15::DOUBLE + e * 0.15::DOUBLE) / 1.0, 6) END AS source_trust FROM p)
-SELECT doc_id, source_trust, CASE WHEN retracted THEN 'blocked' WHEN source_trust >= 0.75 THEN 'strong' WHEN source_trust >= 0.55 THEN 'moderate' WHEN source_trust >= 0.35 THEN 'limited' ELSE 'low' END AS trust_tier FROM s""",
     "stale_ids": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }

@@ -6,30 +6,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import vectors as V
-from ..operators import evidence, retrieval
+from ..functions.storage import materialise
+from ..operators import evidence
+from ..operators.first_stage import first_stage
 
-# Weights of the default policy's components, and its diversity bonus.
-POLICY = {"relevance": 0.45, "semantic": 0.25, "method": 0.1, "specificity": 0.1, "claim_density": 0.1}
-DIVERSITY = 0.1
-
-
-def first_stage(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
-    """``query_id, doc_id, relevance, semantic, candidate_score, rank``.
+__all__ = ["diverse", "enriched", "explain", "first_stage", "rank_table", "staged", "stage_summary"]
 
-    Lexical scores are min-max normalised over the whole corpus: a document without a common term has 0, so
-    the lowest score is 0 unless every document matches.
-    """
-    scored = retrieval.bm25(queries, docs)
-    n = docs.agg(F.count("*").alias("_n"))
-    bounds = scored.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"), F.count("*").alias("_hits")).crossJoin(F.broadcast(n))
-    low = F.when(F.col("_hits") < F.col("_n"), F.lit(0.0)).otherwise(F.col("_low"))
-    lexical = scored.join(bounds, "query_id").withColumn("relevance", F.round(V.min_max(F.col("score"), low, F.col("_high")), 6))
-    best = retrieval.top_k(lexical, k, [F.desc("relevance"), F.desc("doc_id")]).select("query_id", "doc_id", "relevance")
-    overlap = retrieval.overlap_scores(queries, best, docs)
-    joined = best.join(overlap, ["query_id", "doc_id"]).withColumn("semantic", F.col("overlap"))
-    score = F.round(0.5 * F.col("relevance") + 0.5 * F.col("semantic"), 7)
-    return retrieval.top_k(joined.withColumn("candidate_score", score), k, [F.desc("candidate_score"), F.desc("doc_id")]).drop("overlap")
+#: Added to the score of a candidate whose source the list does not have yet; the balanced policy has no such bonus.
+DIVERSITY = 0.1
 
 
 def diverse(group: pd.DataFrame, k: int, bonus: float) -> pd.DataFrame:
@@ -51,17 +37,26 @@ def diverse(group: pd.DataFrame, k: int, bonus: float) -> pd.DataFrame:
     return out
 
 
-def staged(queries: DataFrame, docs: DataFrame, k: int = 10, candidates: int = 50, policy: dict[str, float] = POLICY, bonus: float = DIVERSITY) -> DataFrame:
-    """Candidates, signals, safety gate, weighted score, evidence decision and diverse selection of each query.
+def enriched(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates with relevance and similarity raised by focus coverage, their texts' signals and safety decision.
 
-    The selection is sequential by nature; it sees at most ``candidates`` rows of a query at a time.
+    ``found`` is a written table; only its documents' texts are looked at.
     """
-    found = first_stage(queries, docs, candidates)
     wanted = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    safe = evidence.safety_scan(wanted, "text").where("decision in ('allow', 'sanitize')").select("doc_id", "source", "decision")
-    signals = evidence.chunk_signals(wanted)
-    rows = found.join(safe, "doc_id").join(signals, "doc_id")
-    parts = {"relevance": F.col("relevance"), "semantic": F.col("semantic"), "method": F.col("method_signal"), "specificity": F.col("evidence_specificity"), "claim_density": F.col("claim_density")}
+    signals = evidence.safety_scan(wanted, "text").select("doc_id", "source", "decision", *[F.round(c, 6).alias(n) for n, c in evidence.signal_columns(F.col("text")).items()])
+    rows = found.join(signals, "doc_id")
+    raised = {"relevance": F.greatest(F.col("lexical"), F.col("focus") * 0.5), "semantic_similarity": F.greatest(F.col("semantic"), F.col("focus") * 0.35), "syntax_relevance": F.col("syntax")}
+    return rows.withColumns(raised)
+
+
+def staged(queries: DataFrame, docs: DataFrame, k: int = 10, candidates: int = 50, policy: dict[str, float] = fixed.BALANCED, bonus: float = DIVERSITY) -> DataFrame:
+    """Candidates, signals, safety gate, weighted score, sanitize penalty and diverse selection of each query.
+
+    Components of the policy that the documents have no data for (citations, authors, year) count 0. The selection is
+    sequential by nature; it sees at most ``candidates`` rows of a query at a time.
+    """
+    rows = enriched(materialise(first_stage(queries, docs, candidates), "found"), docs).where("decision in ('allow', 'sanitize')")
+    parts = {n: F.col(n) for n in policy if n in rows.columns}
     score = V.weighted(parts, policy) * F.when(F.col("decision") == "sanitize", 0.65).otherwise(1.0)
     scored = rows.withColumn("score", F.round(score, 6)).where("score > 0").select("query_id", "doc_id", "source", "score")
     schema = "query_id long, doc_id long, source string, score double, final_score double, rank long"
@@ -78,9 +73,7 @@ def explain(ranked: DataFrame, parts: dict[str, float], most: int = 4) -> DataFr
 
 def stage_summary(queries: DataFrame, docs: DataFrame, candidates: int = 50) -> DataFrame:
     """Rows of each query after each stage."""
-    found = first_stage(queries, docs, candidates)
-    wanted = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    gated = found.join(evidence.safety_scan(wanted, "text").select("doc_id", "decision"), "doc_id")
+    gated = enriched(materialise(first_stage(queries, docs, candidates), "found"), docs)
     return gated.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("decision").isin("allow", "sanitize")).alias("allowed"), F.count_if(F.col("decision") == "quarantine").alias("quarantined"), F.count_if(F.col("decision") == "block").alias("blocked"))
 
 

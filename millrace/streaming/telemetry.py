@@ -19,15 +19,18 @@ def read_events(spark: SparkSession, path: str, schema: str, files_a_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def keep_fresh(changes: DataFrame, target: str, checkpoint: str, key: str, digest: str) -> StreamingQuery:
+def keep_fresh(changes: DataFrame, target: str, checkpoint: str, key: str, digest: str, newest: str | None = None) -> StreamingQuery:
     """Apply every micro-batch of ``(key, digest, ...)`` to the table at ``target``, in numbered versions.
 
+    Of several changes of a key in a batch the one with the greatest ``newest`` counts (without that column the one with the greatest digest).
+
     A batch that is replayed after a failure writes the same version again from the same predecessor.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates([key])
+        row = F.max_by(F.struct(*batch.columns), F.struct(*([F.col(newest)] if newest else []), F.col(digest)))
+        latest = batch.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")
         if number == 0:
             state = latest
         else:

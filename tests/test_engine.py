@@ -102,8 +102,12 @@ def test_sliding_windows(spark):
 
 
 def test_pack_sentences():
-    assert chunking.pack_sentences([3, 3, 3, 9, 2], 8, 3) == [(0, 2), (1, 3), (3, 4), (4, 5)]
-    assert chunking.pack_sentences([], 8, 3) == []
+    def parts(lengths):
+        ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+        return [(" ".join("w" * n), e - n, e) for n, e in zip(lengths, ends, strict=True)]
+
+    assert [c[1:3] for c in chunking.packed(parts([3, 3, 3, 9, 2]), 8, 3)] == [(0, 6), (3, 9), (9, 17), (14, 18), (18, 20)]
+    assert chunking.packed([], 8, 3) == []
 
 
 def test_conflicts_and_corroboration(spark):
@@ -144,7 +148,7 @@ def test_spread_decision(spark):
 
 
 def test_staged_retrieval_prefers_new_sources(spark):
-    docs = spark.createDataFrame([(1, "red fox runs", "a"), (2, "red fox", "a"), (3, "red dog", "b")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, "red fox runs", "a"), (2, "red fox", "a"), (3, "red dog", "b"), (4, "blue bird", "c")], "doc_id long, text string, source string")
     queries = spark.createDataFrame([(9, "red fox")], "query_id long, text string")
     rows = staged.staged(queries, docs, k=2, bonus=1.0).orderBy("rank").collect()
     assert [r["source"] for r in rows] == ["a", "b"]
