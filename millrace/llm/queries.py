@@ -1,11 +1,11 @@
-"""The registered queries of the ten training-data operators, each over its whole table."""
+"""The registered queries of the thirteen training-data operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprints, lexicon, lines, neardup, packing, pii, rules, warc
+from . import classifier, decontaminate, fingerprints, lexicon, lines, merkle, neardup, packing, pii, rules, spelling, warc
 from .common import read
 from .oracles import ORACLE_SQL
 
@@ -51,6 +51,18 @@ def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).withColumn("positions_crc32", F.crc32("position_ids")).drop("ids", "position_ids")
 
 
+def op11_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_warc_index": op8_warc_index,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_matrix": op10_token_matrix,
+    "op11_benchmark_passages": op11_benchmark_passages,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
