@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog_evaluation as evaluation
 from . import catalog_signals as signals
+from . import catalog_tuning
 from . import oracles
 from .functions import fixed
 from .functions import text as T
@@ -322,5 +323,5 @@ QUERIES = {
     )
 }
 
-QUERIES |= signals.QUERIES | evaluation.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES |= signals.QUERIES | evaluation.QUERIES | catalog_tuning.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL | catalog_tuning.ORACLE_SQL
