@@ -446,6 +446,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHAR
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, with every occurrence of a window cut out of ``text``."""
-    rest = F.struct(F.lit(1).alias("unused"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rest = F.struct(F.lit(1).alias("c"), *(F.col(f"`{c}`").alias(own) for c, own in others.items())).alias("rest")
     found = _search(docs.select("doc_id", "text", rest), benchmark, True, shard_bytes, block_bytes)
-    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    return found.select(*(F.col("rest").getField(others[c]).alias(c) if c in others else F.col(c) for c in docs.columns))
