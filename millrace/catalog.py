@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog_evaluation as evaluation
+from . import catalog_grounding, catalog_tuning
 from . import catalog_signals as signals
-from . import catalog_tuning
 from . import oracles
 from .functions import fixed
 from .functions import text as T
@@ -323,5 +323,5 @@ QUERIES = {
     )
 }
 
-QUERIES |= signals.QUERIES | evaluation.QUERIES | catalog_tuning.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL | catalog_tuning.ORACLE_SQL
+QUERIES |= signals.QUERIES | evaluation.QUERIES | catalog_tuning.QUERIES | catalog_grounding.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL | catalog_tuning.ORACLE_SQL | catalog_grounding.ORACLE_SQL
