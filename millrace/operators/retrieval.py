@@ -128,29 +128,37 @@ class Best:
             self.scores[at], self.ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = MAX_BROADCAST_VECTORS) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = MAX_BROADCAST_VECTORS, block_bytes: int = 64 << 20, where: list[str] | None = None) -> DataFrame:
     """Exact cosine top ``k`` of each query vector over all ``(vec_id, embedding)``.
 
-    Queries go to the tasks in blocks of a checked size. A task multiplies its vectors with a block and keeps the best ``k`` of each
-    query; only those are shuffled.
+    Queries go to the tasks in blocks of at most ``block`` rows and about ``block_bytes`` of numbers, as one broadcast matrix each. A task
+    multiplies its vectors with a block and keeps the best ``k`` of each query; only those are shuffled.
+
+    ``where`` names columns that both sides have: a query finds only vectors with its own value in each of them, and any value where its own is
+    null. The condition is a matrix of bits beside the scores, so that a query has its best ``k`` under it, however few there are.
     """
-    found = []
-    for part in blocks(queries, block):
-        rows = part.select(F.col("vec_id").cast("long"), "embedding").collect()
-        names = np.array([r[0] for r in rows], np.int64)
+    spark, where, found = vectors.sparkSession, where or [], []
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    for part in blocks(queries, max(1, min(block, block_bytes // (8 * max(1, width))))):
+        rows = part.select(F.col("vec_id").cast("long"), "embedding", *[F.col(c).cast("string") for c in where]).collect()
         size = max((len(r[1]) for r in rows if r[1] is not None), default=0)
-        asked = unit_rows([r[1] for r in rows], size)
+        asked = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), unit_rows([r[1] for r in rows], size), [np.array([r[2 + i] for r in rows], object) for i in range(len(where))]))
 
-        def scan(batches: Iterator[pa.RecordBatch], names=names, size=size, asked=asked) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], asked=asked, size=size) -> Iterator[pa.RecordBatch]:
+            names, units, wanted = asked.value
             best = Best(len(names), k)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     piece = batch.slice(at, 256)
-                    best.add(np.round(asked @ unit_rows(piece.column(1).to_pylist(), size).T, 6), piece.column(0).to_numpy())
+                    scores = np.round(units @ unit_rows(piece.column(1).to_pylist(), size).T, 6)
+                    for i, own in enumerate(wanted):
+                        has = np.array(piece.column(2 + i).to_pylist(), object)
+                        scores = np.where((own[:, None] == has[None, :]) | (own == None)[:, None], scores, -np.inf)  # noqa: E711
+                    best.add(scores, piece.column(0).to_numpy())
             there = np.isfinite(best.scores)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, there.sum(1))), pa.array(best.ids[there]), pa.array(best.scores[there] + 0.0)], ["query_id", "doc_id", "score"])
 
-        each = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(scan, "query_id long, doc_id long, score double")
+        each = vectors.select(F.col("vec_id").cast("long"), "embedding", *[F.col(c).cast("string") for c in where]).mapInArrow(scan, "query_id long, doc_id long, score double")
         found.append(top_k(each, k).select("query_id", "doc_id", "score", "rank"))
     return reduce(DataFrame.unionAll, found)
 
