@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import fixed_policies
 from .functions.storage import materialise
-from .operators import evidence, preference, retrieval, tuning
-from .oracles import OVERLAP, SIGNALS, claims
+from .operators import decisions, evidence, preference, retrieval, tuning
+from .oracles import OVERLAP, SIGNALS, claims, safety, text_list, words
+from .plans import staged
 
 CANDIDATES = 20
 #: Components of the weight grid, and how many steps a weight has: 126 weightings.
@@ -97,7 +98,27 @@ def preference_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.fold_report(examples, KNOWN, "ndcg")
 
 
-QUERIES = {f.__name__: f for f in (policy_runs, policy_comparison, weight_grid, weight_halving, weight_tuning, stage_grid, preference_folds)}
+def evidence_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the twelve policies decides about each candidate, and why."""
+    rows, _ = candidates(spark, sf_dir)
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    wanted = docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    scanned = evidence.safety_scan(wanted, "text").select("doc_id", "decision")
+    trust = labels.select("doc_id", (F.col("quality") * 0.5 + 0.1).alias("source_trust"), (F.col("toxic") == 1).alias("is_retracted"))
+    rows = rows.join(scanned, "doc_id").join(trust, "doc_id", "left").join(decisions.controls(queries), "query_id").withColumn("excluded_share", F.lit(0.0))
+    made = decisions.decided(rows, fixed_policies.POLICIES)
+    return made.select("query_id", "doc_id", "policy", "utility", "decision", "reasons", ((F.col("decision") == "allow") & (F.col("utility") > 0.000002)).alias("counts"), "diversity")
+
+
+def staged_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all twelve policies, from one run of the first stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return staged.staged(queries, docs, policies=fixed_policies.POLICIES)
+
+
+QUERIES = {f.__name__: f for f in (evidence_decisions, staged_policies, policy_runs, policy_comparison, weight_grid, weight_halving, weight_tuning, stage_grid, preference_folds)}
 
 
 def weight_table(policies: tuning.Policies, parts: list[str]) -> str:
@@ -168,7 +189,25 @@ c AS (SELECT *, round({total}, 6) AS composite FROM trial)
 SELECT *, row_number() OVER (ORDER BY composite DESC, candidate_recall DESC, ndcg DESC, candidates, ranking) AS place FROM c"""
 
 
+def decisions_sql() -> str:
+    f, parts = fixed_policies, [p for p in fixed_policies.PARTS if p in KNOWN]
+    names = [*decisions.SWITCHES]
+    rows = ", ".join(f"('{n}', {', '.join(f'{float(w[p])!r}::DOUBLE' for p in parts)}, {sum(x for x in w.values() if x > 0)!r}::DOUBLE, {', '.join(f'{float(f.SWITCHES.get(n, {}).get(s, 0.0))!r}::DOUBLE' for s in names)})" for n, w in f.POLICIES.items())
+    weighted = " + ".join(f"{p} * w{i}" for i, p in enumerate(parts))
+    return f"""WITH {CAND}, {safety('documents', 'doc_id', 'text')},
+pol AS (SELECT * FROM (VALUES {rows}) AS t(policy, {', '.join(f'w{i}' for i in range(len(parts)))}, total, {', '.join(names)})),
+ctl AS (SELECT item_id AS query_id, len(list_intersect({words('text')}, {text_list(f.DISAGREEMENT_TERMS)})) > 0 AS wants, len(list_intersect(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: trim(w, '.,;:!?')), {text_list(f.RETRACTION_TERMS)})) > 0 AS about FROM benchmark),
+j AS (SELECT cand.*, pol.*, decision AS safe, coalesce(quality * 0.5::DOUBLE + 0.1::DOUBLE, 0) AS trust, coalesce(toxic = 1, false) AND NOT about AS gone, wants, relevance_floor > 0 AND relevance < relevance_floor AS below FROM cand JOIN scanned ON k = doc_id LEFT JOIN labels USING (doc_id) JOIN ctl USING (query_id), pol),
+b AS (SELECT *, greatest(0, ({weighted}) / total - CASE WHEN below THEN low_relevance_penalty * ((relevance_floor - relevance) / relevance_floor) ELSE 0 END) AS base FROM j),
+u AS (SELECT *, round((base + (method_signal_bonus * method_signal + limitation_signal_bonus * limitation_signal + evidence_specificity_bonus * evidence_specificity)) * least(1.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * greatest(relevance, semantic_similarity) + 0.15::DOUBLE * 0.05::DOUBLE), 6) AS utility, safe IN ('block', 'quarantine') AS unsafe FROM b)
+SELECT query_id, doc_id, policy, utility, CASE WHEN unsafe OR gone THEN 'reject' ELSE 'allow' END AS decision,
+  CASE WHEN unsafe THEN 'safety_' || safe WHEN gone THEN 'integrity_gate_retracted' ELSE concat_ws(',', CASE WHEN below THEN 'below_relevance_floor' END, CASE WHEN safe = 'sanitize' THEN 'safety_sanitize_penalty' END, CASE WHEN trust < 0.25 THEN 'low_source_trust_penalty' END) END AS reasons,
+  NOT (unsafe OR gone) AND utility > 0.000002::DOUBLE AS counts,
+  CASE WHEN wants THEN greatest(diversity, 0.25::DOUBLE) ELSE diversity END AS diversity FROM u"""
+
+
 ORACLE_SQL = {
+    "evidence_decisions": decisions_sql(),
     "policy_runs": f"WITH {CAND}, {NAMED} SELECT query_id, policy, doc_id, score, rank FROM runs",
     "policy_comparison": f"""WITH {CAND}, {NAMED}, e AS (SELECT query_id, doc_id, min(rank) AS best_rank, max(rank) AS worst_rank, count(*) AS policies, array_to_string(list_sort(list(policy || '=' || rank)), ',') AS ranks FROM runs GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, doc_id) AS place FROM e""",

@@ -33,3 +33,17 @@ SWITCHES = {
 }
 
 POLICIES = {name: dict(zip(PARTS, weights, strict=True)) for name, weights in WEIGHTS.items()}
+
+# Words of a query that ask for disagreement, and the least diversity that such a query gets.
+DISAGREEMENT_TERMS = ["challenge", "challenges", "conflict", "conflicts", "contradict", "contradicts", "contradiction", "critique", "critiques", "debate", "debates", "disagree", "disagreement", "disputes", "mixed", "skeptical", "tension", "versus"]
+DISAGREEMENT_DIVERSITY = 0.25
+# Words behind which a query names what it does not want, words that end that, and what a text with all of it loses.
+EXCLUSION_MARKERS = ["excluding", "exclude", "except", "without"]
+EXCLUSION_ENDS = ["and", "but", "compared", "rather", "than", "versus", "vs"]
+EXCLUSION_PENALTY = 0.6
+# Words of a query that asks about retracted work.
+RETRACTION_TERMS = ["retracted", "retraction", "withdrawn", "correction", "fraud"]
+# Factors of sanitized texts, of sources below the least trust, and of texts below the relevance floor.
+SANITIZED, UNTRUSTED, LEAST_TRUST, BELOW_FLOOR = 0.65, 0.85, 0.25, 0.5
+# How relevance and trust scale a score.
+GATE, TRUST_SHARE, TRUST_FLOOR = 0.5, 0.15, 0.05

@@ -18,15 +18,39 @@ def chunk_signals(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[F.round(c, 6).alias(name) for name, c in signal_columns(F.col("text")).items()])
 
 
+#: For each safety category groups of words, one group of which a text must have a word of each of; its patterns cannot match else.
+SAFETY_HINTS = {
+    "instruction_override": [[["ignore", "disregard", "override", "reveal", "do not ", "you are now", "act as"]]],
+    "role_confusion": [[["system", "developer", "assistant", "user"]]],
+    "exfiltration": [[["api", "token", "password", "credential", "secret", "private key", "chain"]]],
+    "tool_control": [[["run", "execute", "call", "invoke"], ["shell", "command", "tool", "function", "python", "powershell"]], [["click"], ["link"]], [["browse to"]], [["download"], ["file"]]],
+    "hidden_text": [[["display", "visibility", "font-size", "color", "<!--"]]],
+}
+
+
+def _may_match(low: Column, category: str) -> Column:
+    """Whether a text has the words without which no pattern of the category matches: cheap searches before the patterns."""
+    some = F.lit(False)
+    for groups in SAFETY_HINTS[category]:
+        every = F.lit(True)
+        for words in groups:
+            one = F.lit(False)
+            for w in words:
+                one = one | low.contains(w)
+            every = every & one
+        some = some | every
+    return some
+
+
 def safety_scan(rows: DataFrame, text: str, risky: bool = False) -> DataFrame:
     """Add ``categories`` (sorted), ``risk_score`` and ``decision``."""
     raw = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(T.nfkc(raw))
-    flags = {name: low.rlike("(?s)" + "|".join(f"(?:{p})" for p in patterns)) for name, patterns in fixed.SAFETY_PATTERNS.items()}
+    flags = {name: F.when(_may_match(F.col("_low"), name), F.col("_low").rlike("(?s)" + "|".join(f"(?:{p})" for p in patterns))).otherwise(False) for name, patterns in fixed.SAFETY_PATTERNS.items()}
     controls = F.regexp_replace(raw, "[^\\p{Cf}\\p{Cc}]|[\\n\\r\\t]", "")
     flags["unicode_anomaly"] = F.char_length(controls) >= 2
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9_:-]{4,}"), F.lit(0))
-    rows = rows.withColumns({f"_is_{n}": c for n, c in flags.items()} | {"_words": words})
+    words = F.regexp_extract_all(F.col("_low"), F.lit("[a-z0-9_:-]{4,}"), F.lit(0))
+    rows = rows.withColumn("_low", low).withColumns({f"_is_{n}": c for n, c in flags.items()} | {"_words": words}).drop("_low")
     rows = rows.withColumn("_words", F.when(F.size("_words") >= 24, F.sort_array("_words")).otherwise(F.array().cast("array<string>")))
     # The longest run of equal neighbours in the sorted words is the largest count.
     runs = F.aggregate("_words", F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most")), _count_run, lambda s: s["most"])

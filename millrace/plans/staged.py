@@ -6,32 +6,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..functions import vectors as V
+from ..functions import fixed_policies
+from ..functions import text as T
 from ..functions.storage import materialise
-from ..operators import evidence
+from ..operators import decisions, evidence
 from ..operators.first_stage import first_stage
 
 __all__ = ["diverse", "enriched", "explain", "first_stage", "rank_table", "staged", "stage_summary"]
 
-#: Added to the score of a candidate whose source the list does not have yet; the balanced policy has no such bonus.
-DIVERSITY = 0.1
 
+def diverse(group: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Greedy choice: the best score, raised by the policy's diversity while the candidate's cluster is not yet there.
 
-def diverse(group: pd.DataFrame, k: int, bonus: float) -> pd.DataFrame:
-    """Greedy choice: the best score, raised by ``bonus`` while the candidate's source is not yet there."""
+    Candidates below the policy's relevance or focus floor get no such bonus. Ties go to the larger id.
+    """
     rows = group.sort_values(["score", "doc_id"], ascending=[False, False]).reset_index(drop=True)
+    bonus = rows.diversity.where((rows.relevance >= rows.diversity_relevance_floor) & (rows.focus >= rows.diversity_focus_floor), 0.0).tolist()
+    scores, clusters = rows.score.tolist(), rows.cluster.tolist()
     used: set = set()
-    chosen, final = [], []
-    open_rows = list(range(len(rows)))
+    chosen, final, open_rows = [], [], list(range(len(rows)))
     while open_rows and len(chosen) < k:
-        values = [rows.score[i] + (0.0 if rows.source[i] in used else bonus) for i in open_rows]
-        at = max(range(len(values)), key=lambda j: values[j])
+        values = [scores[i] + (bonus[i] if clusters[i] is not None and clusters[i] not in used else 0.0) for i in open_rows]
+        at = max(range(len(values)), key=values.__getitem__)
         i = open_rows.pop(at)
-        used.add(rows.source[i])
+        used.add(clusters[i])
         chosen.append(i)
-        final.append(round(float(values[at]), 6))
-    out = rows.loc[chosen, ["query_id", "doc_id", "source", "score"]].copy()
+        final.append(round(values[at], 6))
+    out = rows.loc[chosen, ["query_id", "policy", "doc_id", "cluster", "score"]].copy()
     out["final_score"] = final
     out["rank"] = range(1, len(out) + 1)
     return out
@@ -49,18 +50,37 @@ def enriched(found: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumns(raised)
 
 
-def staged(queries: DataFrame, docs: DataFrame, k: int = 10, candidates: int = 50, policy: dict[str, float] = fixed.BALANCED, bonus: float = DIVERSITY) -> DataFrame:
-    """Candidates, signals, safety gate, weighted score, sanitize penalty and diverse selection of each query.
+def scored(queries: DataFrame, docs: DataFrame, policies: dict[str, dict[str, float]], candidates: int = 50) -> DataFrame:
+    """Every candidate under every policy, with its decision; rejected ones too.
+
+    The first stage runs once for all policies. A text's share of a query's excluded words is looked up only where a query excludes any.
+    """
+    rows = enriched(materialise(first_stage(queries, docs, candidates), "found"), docs)
+    asked = materialise(decisions.controls(queries), "controls")
+    unwanted = asked.where("size(excluded) > 0").select("query_id", "excluded")
+    words = docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    shares = rows.select("query_id", "doc_id").join(unwanted, "query_id").join(words, "doc_id").select("query_id", "doc_id", (F.size(F.array_intersect("excluded", "words")) / F.size("excluded")).alias("excluded_share"))
+    return decisions.decided(rows.join(asked.drop("excluded"), "query_id").join(shares, ["query_id", "doc_id"], "left"), policies)
+
+
+def staged(queries: DataFrame, docs: DataFrame, k: int = 10, candidates: int = 50, policies: dict[str, dict[str, float]] | None = None, bonus: float | None = None) -> DataFrame:
+    """Candidates, signals, safety gate, query controls, evidence decision and diverse selection of each query under each policy.
 
-    Components of the policy that the documents have no data for (citations, authors, year) count 0. The selection is
-    sequential by nature; it sees at most ``candidates`` rows of a query at a time.
+    The balanced policy alone by default; ``bonus`` replaces the policies' own diversity. Components that the documents have no data for
+    (citations, authors, year) count 0; a document's cluster is its ``cluster``, or its source where there is no such column. The selection is
+    sequential by nature; it sees at most ``candidates`` rows of a query and policy at a time.
     """
-    rows = enriched(materialise(first_stage(queries, docs, candidates), "found"), docs).where("decision in ('allow', 'sanitize')")
-    parts = {n: F.col(n) for n in policy if n in rows.columns}
-    score = V.weighted(parts, policy) * F.when(F.col("decision") == "sanitize", 0.65).otherwise(1.0)
-    scored = rows.withColumn("score", F.round(score, 6)).where("score > 0").select("query_id", "doc_id", "source", "score")
-    schema = "query_id long, doc_id long, source string, score double, final_score double, rank long"
-    return scored.groupBy("query_id").applyInPandas(lambda g: diverse(g, k, bonus), schema)
+    policies = policies or {"balanced": fixed_policies.POLICIES["balanced"]}
+    rows = scored(queries, docs, policies, candidates).where("decision = 'allow' and score > 0")
+    if bonus is not None:
+        rows = rows.withColumn("diversity", F.lit(float(bonus)))
+    if "cluster" not in rows.columns:
+        rows = rows.withColumn("cluster", F.col("source"))
+    rows = rows.select("query_id", "policy", "doc_id", F.col("cluster").cast("string").alias("cluster"), "score", "relevance", "focus", "diversity", "diversity_relevance_floor", "diversity_focus_floor")
+    schema = "query_id long, policy string, doc_id long, cluster string, score double, final_score double, rank long"
+    chosen = rows.groupBy("query_id", "policy").applyInPandas(lambda g: diverse(g, k), schema)
+    chosen = chosen.withColumnRenamed("cluster", "source")
+    return chosen.drop("policy") if len(policies) == 1 else chosen
 
 
 def explain(ranked: DataFrame, parts: dict[str, float], most: int = 4) -> DataFrame:
