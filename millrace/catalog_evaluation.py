@@ -92,9 +92,9 @@ def sibling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that ask something have grade 2; the other turns of their conversations get 1."""
+    """Turns of several lines have grade 2; the other turns of their conversations get 1."""
     turns = table(spark, sf_dir, "conversations")
-    graded = turns.where(F.contains("text", F.lit("?"))).select("conv_id", "turn", F.lit(2.0).alias("relevance"))
+    graded = turns.where(F.contains("text", F.lit("\n"))).select("conv_id", "turn", F.lit(2.0).alias("relevance"))
     return comparison.parent_qrels(graded, turns, "conv_id", "turn")
 
 
@@ -238,7 +238,7 @@ p AS (SELECT query_id, doc_id, min(rank) AS best_rank, max(score) AS best_score,
     "sibling_turns": """WITH t AS (SELECT role AS query_id, conv_id AS parent, turn AS chunk, length(text) AS score FROM conversations WHERE text IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent, chunk) AS rank FROM t QUALIFY rank <= 10),
 b AS (SELECT query_id, parent, min(rank) AS best_rank, max(score) AS best_score FROM r GROUP BY ALL), s AS (SELECT b.*, t.chunk, row_number() OVER (PARTITION BY b.query_id, parent ORDER BY t.score DESC, t.chunk) AS nth FROM b JOIN t USING (parent) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = b.query_id AND r.parent = b.parent AND r.chunk = t.chunk))
 SELECT query_id, parent, chunk, best_rank + nth AS rank, round(best_score * 0.97::DOUBLE, 6) AS score FROM s WHERE nth <= 2""",
-    "parent_grades": "WITH g AS (SELECT DISTINCT conv_id FROM conversations WHERE contains(text, '?')) SELECT conv_id, turn, CASE WHEN contains(text, '?') THEN 2.0::DOUBLE ELSE 1.0 END AS relevance FROM conversations JOIN g USING (conv_id)",
+    "parent_grades": "WITH g AS (SELECT DISTINCT conv_id FROM conversations WHERE contains(text, chr(10))) SELECT conv_id, turn, CASE WHEN contains(text, chr(10)) THEN 2.0::DOUBLE ELSE 1.0 END AS relevance FROM conversations JOIN g USING (conv_id)",
     "chunk_grades": f"""WITH w AS (SELECT doc_id, lang, {ROUGH.format('text')} AS ws FROM documents), c AS (SELECT doc_id, lang, unnest(range(0, greatest(ceil((len(ws) - 180) / 140.0)::INT, 0) + 1)) AS chunk FROM w WHERE len(ws) > 0)
 SELECT lang AS query_id, doc_id, chunk::INT AS chunk, quality::DOUBLE AS relevance FROM c JOIN labels USING (doc_id) WHERE quality > 0""",
     "turn_works": "SELECT lang, role, quality, count(*) AS turns FROM conversations c JOIN documents d ON c.conv_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL",

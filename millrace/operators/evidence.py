@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.storage import materialise
 
 
 def signal_columns(text: Column) -> dict[str, Column]:
@@ -92,21 +93,40 @@ def topic_tokens(words: Column, most: int = 8) -> Column:
     return F.slice(F.transform(ranked, lambda x: x["w"]), 1, most)
 
 
-def conflicts(found: DataFrame, max_bucket: int = 500) -> DataFrame:
-    """Pairs of claims of different documents with two common topic tokens and opposed stances.
+# Score of a conflict within one cluster and across clusters.
+WITHIN, ACROSS = 0.65, 0.8
 
-    A token that more than ``max_bucket`` claims have makes no pairs (part of the definition).
+
+def conflicts(found: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Opposed claims on the same topic: a supportive one against critical or mixed ones, with two topic tokens in common.
+
+    Claims with equal topic tokens, stance and cluster are one class, named by its first claim (by document, then position), so that copies make
+    no pairs: a row a pair of classes, with how many claims each has, ``shared_tokens``, ``conflict_type`` and ``score``. Classes of one
+    and the same document are no conflict. Two sets of at most eight tokens share two of them exactly if they share a pair of tokens, so classes
+    meet by pairs of tokens, supportive ones on one side and opposed ones on the other: whatever meets is a conflict, and no token is left out.
     """
-    rows = found.select("doc_id", "position", "stance", topic_tokens(F.col("_tokens")).alias("topics"))
-    each = rows.select("doc_id", "position", "stance", F.explode("topics").alias("t"))
-    usual = each.groupBy("t").count().where(F.col("count").between(2, max_bucket)).select("t")
-    each = each.join(usual, "t")
-    left = each.select("t", F.col("doc_id").alias("left_doc"), F.col("position").alias("left_position"), F.col("stance").alias("left_stance"))
-    right = each.select("t", F.col("doc_id").alias("right_doc"), F.col("position").alias("right_position"), F.col("stance").alias("right_stance"))
-    opposed = "((left_stance = 'supportive' and right_stance in ('critical', 'mixed')) or (right_stance = 'supportive' and left_stance in ('critical', 'mixed')))"
-    pairs = left.join(right, "t").where(f"left_doc < right_doc and {opposed}")
-    keys = ["left_doc", "left_position", "right_doc", "right_position", "left_stance", "right_stance"]
-    return pairs.groupBy(*keys).agg(F.count("*").alias("shared_tokens")).where("shared_tokens >= 2")
+    named = F.col(cluster) if cluster in found.columns else F.lit(None)
+    rows = found.select("doc_id", "position", "stance", named.cast("string").alias("cluster"), F.array_sort(topic_tokens(F.col("_tokens"))).alias("topics")).where(F.size("topics") >= 2)
+    rows = rows.where(F.col("stance").isin("supportive", "critical", "mixed"))
+    classes = rows.groupBy("topics", "stance", "cluster").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("claims"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    pairs = F.flatten(F.transform("topics", lambda t, i: F.transform(F.slice("topics", i + 2, F.size("topics")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+    keyed = classes.select("id", "stance", F.inline(pairs))
+    left = keyed.where("stance = 'supportive'").select("t", "u", F.col("id").alias("left_id"))
+    right = keyed.where("stance <> 'supportive'").select("t", "u", F.col("id").alias("right_id"))
+    met = left.join(right, ["t", "u"]).select("left_id", "right_id").distinct()
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("id").alias(f"{name}_id"), F.col("first.doc_id").alias(f"{name}_doc"), F.col("first.position").alias(f"{name}_position"), F.col("stance").alias(f"{name}_stance"), F.col("claims").alias(f"{name}_claims"), F.col("topics").alias(f"{name}_topics"), F.col("cluster").alias(f"{name}_cluster"), F.struct("low", "high").alias(f"{name}_docs"))
+
+    both = met.join(side("left"), "left_id").join(side("right"), "right_id")
+    alone = (F.col("left_docs.low") == F.col("left_docs.high")) & (F.col("right_docs.low") == F.col("right_docs.high")) & (F.col("left_docs.low") == F.col("right_docs.low"))
+    across = ~F.col("left_cluster").eqNullSafe(F.col("right_cluster"))
+    shared = F.array_intersect("left_topics", "right_topics")
+    return both.where(~alone).select(
+        "left_doc", "left_position", "right_doc", "right_position", "right_stance", "left_claims", "right_claims", F.array_join(shared, ",").alias("shared_tokens"),
+        F.when(across, "cross_cluster_tension").otherwise("within_cluster_tension").alias("conflict_type"), F.when(across, ACROSS).otherwise(WITHIN).alias("score"),
+    )
 
 
 def sliding_windows(docs: DataFrame, size: int = 180, overlap: int = 40) -> DataFrame:

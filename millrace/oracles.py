@@ -142,12 +142,15 @@ SELECT lang, signal, count(value) AS n, round(min(value), 6) AS low, round(max(v
     "page_safety": f"WITH {safety('pages', 'page_id', 'html', '0.1::DOUBLE')} SELECT decision, categories, count(*) AS n FROM scanned GROUP BY ALL",
     "claim_features": f"WITH {claims()} SELECT doc_id, position::INT AS position, confidence, stance, sha1(sentence) AS sentence_sha1 FROM kept",
     "claim_conflicts": f"""WITH {claims()},
-cnt AS (SELECT doc_id, position, stance, t, count(*) AS c FROM (SELECT doc_id, position, stance, unnest(list_filter(ws, lambda w: length(w) >= 4)) AS t FROM kept) GROUP BY ALL),
-tops AS (SELECT doc_id, position, stance, t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY c DESC, t) AS r FROM cnt) WHERE r <= 8),
-usual AS (SELECT t FROM tops GROUP BY t HAVING count(*) BETWEEN 2 AND 500),
-e AS (SELECT * FROM tops WHERE t IN (SELECT t FROM usual))
-SELECT a.doc_id AS left_doc, a.position::INT AS left_position, b.doc_id AS right_doc, b.position::INT AS right_position, a.stance AS left_stance, b.stance AS right_stance, count(*) AS shared_tokens
-FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND ((a.stance = 'supportive' AND b.stance IN ('critical', 'mixed')) OR (b.stance = 'supportive' AND a.stance IN ('critical', 'mixed'))) GROUP BY ALL HAVING count(*) >= 2""",
+rv AS (SELECT doc_id, position, ws, lang AS cluster, CASE WHEN toxic = 1 THEN 'critical' WHEN quality = 0 THEN 'mixed' WHEN quality IS NOT NULL THEN 'supportive' ELSE stance END AS stance FROM kept JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)),
+cnt AS (SELECT doc_id, position, stance, cluster, t, count(*) AS c FROM (SELECT doc_id, position, stance, cluster, unnest(list_filter(ws, lambda w: length(w) >= 4)) AS t FROM rv) GROUP BY ALL),
+tops AS (SELECT doc_id, position, stance, cluster, list_sort(list(t)) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY c DESC, t) AS r FROM cnt) WHERE r <= 8 GROUP BY doc_id, position, stance, cluster),
+cls AS (SELECT topics, stance, cluster, min(struct_pack(d := doc_id, p := position)) AS first, count(*) AS claims, min(doc_id) AS low, max(doc_id) AS high, row_number() OVER () AS id FROM tops WHERE len(topics) >= 2 AND stance IN ('supportive', 'critical', 'mixed') GROUP BY topics, stance, cluster),
+tk AS (SELECT id, stance, unnest(topics) AS t FROM cls),
+met AS (SELECT a.id AS l, b.id AS r FROM tk a JOIN tk b ON a.t = b.t AND a.stance = 'supportive' AND b.stance <> 'supportive' GROUP BY ALL HAVING count(*) >= 2)
+SELECT a.first.d AS left_doc, a.first.p::INT AS left_position, b.first.d AS right_doc, b.first.p::INT AS right_position, b.stance AS right_stance, a.claims AS left_claims, b.claims AS right_claims, array_to_string(list_filter(a.topics, lambda x: list_contains(b.topics, x)), ',') AS shared_tokens,
+  CASE WHEN a.cluster IS DISTINCT FROM b.cluster THEN 'cross_cluster_tension' ELSE 'within_cluster_tension' END AS conflict_type, CASE WHEN a.cluster IS DISTINCT FROM b.cluster THEN 0.8::DOUBLE ELSE 0.65::DOUBLE END AS score
+FROM met JOIN cls a ON a.id = l JOIN cls b ON b.id = r WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)""",
     "sliding_chunks": f"""WITH w AS (SELECT doc_id, {ROUGH.format('text')} AS ws FROM documents),
 c AS (SELECT doc_id, ws, unnest(range(0, greatest(ceil((len(ws) - 180) / 140.0)::INT, 0) + 1)) AS chunk FROM w WHERE len(ws) > 0)
 SELECT doc_id, chunk::INT AS chunk, (chunk * 140)::INT AS token_start, least(chunk * 140 + 180, len(ws))::INT AS token_end, sha1(array_to_string(ws[chunk * 140 + 1 : chunk * 140 + 180], ' ')) AS text_sha1 FROM c""",

@@ -1,6 +1,7 @@
 """The engine's own operators on small tables with results worked out by hand or by brute force."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,24 @@ def test_nearest_in_blocks(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole, parts = (sorted(map(tuple, retrieval.nearest(vectors, vectors, 3, block).collect())) for block in (100, 25))
     assert parts == whole and len(whole) == 180
+
+
+def test_conflicts_by_brute_force(spark):
+    """A token that a thousand claims have, copies of claims, claims of one document, and three stances."""
+    words = ["panels", "prices", "market", "storage", "voltage", "demand"]
+    rng, rows = random.Random(8), []
+    for i in range(1300):
+        own = ["common", *rng.sample(words, i % 4)]
+        rows.append((i % 400, i, rng.choice(["supportive", "critical", "mixed", "descriptive"]), own, "xy"[i % 2]))
+    claims = spark.createDataFrame(rows, "doc_id long, position int, stance string, _tokens array<string>, cluster string")
+    classes = {}
+    for d, p, stance, own, c in rows:
+        if len(set(own)) >= 2:
+            classes.setdefault((tuple(sorted(set(own))), stance, c), []).append((d, p))
+    want = set()
+    for (s, a, x), left in classes.items():
+        for (t, b, y), right in classes.items():
+            if a == "supportive" and b in ("critical", "mixed") and len(set(s) & set(t)) >= 2 and len({d for d, _ in left} | {d for d, _ in right}) > 1:
+                want.add((*min(left), *min(right), b, len(left), len(right), ",".join(sorted(set(s) & set(t))), "within_cluster_tension" if x == y else "cross_cluster_tension", 0.65 if x == y else 0.8))
+    got = [tuple(r) for r in evidence.conflicts(claims).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
