@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise, scratch_uri, small
 
-__all__ = ["join_counted", "join_small", "materialise", "read", "scratch_uri"]
+__all__ = ["frugal", "join_counted", "join_small", "materialise", "read", "scratch_uri"]
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function of Arrow batches that gives free memory back to the system when its task ends.
+
+    Python workers are used again by later stages, and those of several stages in a row share an executor's memory.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
 
 #: So many of the most frequent keys at most are broadcast by ``join_counted``.
 HOT_KEYS = 50_000

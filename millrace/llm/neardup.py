@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Numbering
-from .common import join_small, materialise
+from .common import frugal, join_small, materialise
 from .components import connected_components
 from .prefixes import bitmap, prefix_pairs
 
@@ -42,7 +42,7 @@ SHINGLE_WORDS = 5
 MIN_PERCENT = 85
 SYMBOLS = 64
 MAX_MISS = 0.0004
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLIERS = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
+    return rows.mapInArrow(frugal(sign), "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
 def max_distance(percent: int) -> int:
@@ -138,7 +138,7 @@ def key_rows(sets: DataFrame, percent: int) -> DataFrame:
                 nodes = np.repeat(part.column(0).to_numpy(), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(error_keys(signs, chunks).ravel()), pa.array(nodes)], ["key", "node"])
 
-    return sets.select("node", "signature").mapInArrow(expand, "key long, node long")
+    return sets.select("node", "signature").mapInArrow(frugal(expand), "key long, node long")
 
 
 def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SYMBOLS) for c in ("su", "sv"))
                 yield batch.select(["u", "v"]).filter(pa.array((a != b).sum(1) <= most))
 
-    return both.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
+    return both.select("u", "v", "su", "sv").mapInArrow(frugal(keep), "u long, v long")
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, width: int, with_bits: bool = False) -> DataFrame:
@@ -174,7 +174,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, width: int, with_bits: bool = F
 
     wanted = materialise(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     texts = join_small(docs.select(F.col("doc_id").cast("long"), "text"), wanted, ["doc_id"], "left_semi")
-    return texts.mapInArrow(hash_sets, "node long, tokens array<long>" + (", bits array<long>" if with_bits else ""))
+    return texts.mapInArrow(frugal(hash_sets), "node long, tokens array<long>" + (", bits array<long>" if with_bits else ""))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
     left = full.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
     right = full.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(overlap, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(frugal(overlap), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:

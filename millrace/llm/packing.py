@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialise
+from .common import frugal, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                 keep = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:keep], types, strict=False)], names[:keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(encode), PIECES + (", ids binary" if with_ids else ""))
 
 
 def length_histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
