@@ -84,43 +84,71 @@ def length_histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
     return counts
 
 
-def find_exact(have: np.ndarray, gap: int) -> tuple[int, ...]:
-    """One, two or three available lengths that sum to ``gap``, the larger first; () if there are none."""
-    if have[gap] > 0:
-        return (gap,)
-
-    def pair(total: int, most: int, counts: np.ndarray) -> tuple[int, ...]:
-        low, high = (total + 1) // 2, min(most, total - 1)
-        if high < low:
+class SumIndex:
+    """For every sum up to the capacity a single length, a pair and a triple of lengths that make it, under availability counts.
+
+    Built over all available lengths at once: ``pairs[s]`` holds the larger length of a pair with sum s, ``triples[s]`` one length of a triple.
+    ``have`` is shared with the caller, who uses lengths up; an entry whose lengths have run out is looked for anew when it is met.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, size = have, len(have)
+        self.pairs, self.triples = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        lengths = np.flatnonzero(have > 0)
+        for a in lengths.tolist():  # ascending, so that the largest stays
+            sums = a + lengths[: np.searchsorted(lengths, min(a, size - 1 - a), "right")]
+            self.pairs[sums] = a
+        made = np.flatnonzero(self.pairs)
+        for a in lengths.tolist():
+            sums = a + made[: np.searchsorted(made, size - 1 - a, "right")]
+            self.triples[sums] = a
+
+    def pair(self, total: int) -> tuple[int, ...]:
+        """Two available lengths with this sum, the larger first; () if there are none."""
+        if total < 2:
             return ()
-        first = np.arange(low, high + 1)
-        fits = (counts[first] > 0) & (counts[total - first] > (first * 2 == total))
-        at = np.flatnonzero(fits)
-        return (int(first[at[-1]]), total - int(first[at[-1]])) if len(at) else ()
-
-    if found := pair(gap, gap - 1, have):
-        return found
-    for a in np.flatnonzero(have[: gap - 1] > 0)[::-1].tolist():
-        if 3 * a < gap:
-            break
-        have[a] -= 1
-        rest = pair(gap - a, a, have)
-        have[a] += 1
-        if rest:
-            return (a, *rest)
-    return ()
+        have, a = self.have, int(self.pairs[total])
+        if not (a and have[a] > 0 and have[total - a] > (2 * a == total)):
+            first = np.arange((total + 1) // 2, total)
+            at = np.flatnonzero((have[first] > 0) & (have[total - first] > (first * 2 == total)))
+            if not len(at):
+                return ()
+            a = self.pairs[total] = int(first[at[-1]])
+        return a, total - a
+
+    def _with(self, a: int, total: int) -> tuple[int, ...]:
+        self.have[a] -= 1
+        rest = self.pair(total - a) if self.have[a] >= 0 else ()
+        self.have[a] += 1
+        return (a, *rest) if rest else ()
+
+    def find(self, gap: int) -> tuple[int, ...]:
+        """One, two or three available lengths that sum to the gap; () if there are none."""
+        if self.have[gap] > 0:
+            return (gap,)
+        if found := self.pair(gap):
+            return found
+        if (a := int(self.triples[gap])) and (found := self._with(a, gap)):
+            return found
+        # The largest of a triple has at least a third of the sum.
+        for a in np.flatnonzero(self.have[: gap - 1] > 0)[::-1].tolist():
+            if 3 * a < gap:
+                break
+            if found := self._with(a, gap):
+                self.triples[gap] = a
+                return found
+        return ()
 
 
 def exact_complement_plan(counts: np.ndarray, capacity: int) -> list[Run]:
     have, rank, runs, sequence = counts.copy(), np.zeros_like(counts), [], 0
+    index = SumIndex(have)
     for longest in range(capacity, 0, -1):
         while have[longest] > 0:
             pattern, gap = [longest], capacity - longest
             have[longest] -= 1
             while gap > 0:
-                if exact := find_exact(have, gap):
-                    added = exact
-                else:
+                if not (added := index.find(gap)):
                     below = np.flatnonzero(have[1 : gap + 1] > 0)
                     if not len(below):
                         break
@@ -277,3 +305,51 @@ def pack_matrix(docs: DataFrame, tokenizer_path: str | None = None, capacity: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return rows.mapInArrow(lay_out, SEQUENCES)
+
+
+SHARD_ROWS = 256
+SHARDS = "shard long, first_sequence long, n_rows int, ids binary, segments binary, offsets binary, crc32 long"
+
+
+def write_shards(matrix: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> None:
+    """Write ``pack_matrix``'s rows as shards of a packed id matrix, and an index of them, as Parquet below ``path``.
+
+    A shard holds ``shard_rows`` neighbouring sequences: ``ids`` is their matrix of little-endian unsigned 32-bit ids, row by row, ``segments`` all
+    cumulative lengths (signed 32-bit) and ``offsets`` where each row's begin (64-bit, one more than rows). The index has a row a
+    shard, without the data, so that a reader finds a sequence's shard and row from its number and checks it by its CRC.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                ids = b"".join(r["ids"] for r in rows)
+                ends = np.concatenate([[0], np.cumsum([len(r["cu_lengths"]) for r in rows])]).astype("<i8")
+                segments = np.concatenate([r["cu_lengths"] for r in rows]).astype("<i4").tobytes()
+                values = [shard, rows[0]["sequence_id"], len(rows), ids, segments, ends.tobytes(), zlib.crc32(ids)]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["shard", "first_sequence", "n_rows", "ids", "segments", "offsets", "crc32"])
+
+    row = F.struct("sequence_id", "ids", "cu_lengths")
+    shards = matrix.groupBy(F.floor(F.col("sequence_id") / shard_rows).alias("shard")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    shards.mapInArrow(frugal(join), SHARDS).write.mode("overwrite").parquet(f"{path}/shards")
+    matrix.sparkSession.read.parquet(f"{path}/shards").select("shard", "first_sequence", "n_rows", "crc32").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_shards(spark, path: str, capacity: int = CAPACITY, sequences: list[int] | None = None) -> DataFrame:
+    """``sequence_id, ids, cu_lengths, intact`` of written shards, or of the shards that hold some sequences: those alone are read."""
+    shards = spark.read.parquet(f"{path}/shards")
+    if sequences is not None:
+        first = F.col("first_sequence")
+        holds = [r["shard"] for r in spark.read.parquet(f"{path}/index").where(F.exists(F.array(*map(F.lit, sequences)), lambda s: (s >= first) & (s < first + F.col("n_rows")))).select("shard").collect()]
+        shards = shards.where(F.col("shard").isin(holds))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ends, lengths = np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["segments"], "<i4")
+                at = [i for i in range(r["n_rows"]) if sequences is None or r["first_sequence"] + i in sequences]
+                columns = [pa.array([r["first_sequence"] + i for i in at], pa.int64()), pa.array([r["ids"][4 * capacity * i : 4 * capacity * (i + 1)] for i in at], pa.binary()), pa.array([lengths[ends[i] : ends[i + 1]].tolist() for i in at], pa.list_(pa.int32())), pa.array([zlib.crc32(r["ids"]) == r["crc32"]] * len(at), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "cu_lengths", "intact"])
+
+    return shards.mapInArrow(part, "sequence_id long, ids binary, cu_lengths array<int>, intact boolean")
