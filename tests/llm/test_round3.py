@@ -224,3 +224,55 @@ def test_states_resume_before_every_slot():
             changed = [*children[:k], "0" * 64, *children[k + 1 : n]]
             assert parent.fold(k, "0" * 64) == sha(changed) == merkle.Resumed(children[:k], children[k + 1 : n]).fold("0" * 64)
             assert parent.fold(k, children[k]) == parent.digest
+
+
+# Additions to operators 1, 4 and 10
+
+
+def test_the_sum_index_finds_a_filling_whenever_there_is_one():
+    from itertools import combinations_with_replacement
+
+    from millrace.llm import packing
+
+    rng = random.Random(7)
+    for _ in range(120):
+        size = rng.randint(4, 40)
+        have = np.array([0] + [rng.choice([0, 0, 0, 1, 2]) for _ in range(size)])
+        index = packing.SumIndex(have)
+        for _ in range(30):
+            gap = rng.randint(1, size)
+            lengths = [int(x) for x in np.flatnonzero(have)]
+            exists = any(sum(c) == gap and all(c.count(x) <= have[x] for x in c) for n in (1, 2, 3) for c in combinations_with_replacement(lengths, n))
+            found = index.find(gap)
+            assert bool(found) == exists
+            if found:
+                assert sum(found) == gap and len(found) <= 3 and all(found.count(x) <= have[x] for x in found)
+                for x in found:
+                    have[x] -= 1
+            elif rng.random() < 0.3:  # lengths come back, as when a pattern is taken back
+                have[rng.randint(1, size)] += 1
+
+
+def test_shards_give_every_row_back(spark, tmp_path):
+    from millrace.llm import packing
+
+    docs = table(spark, [(d, "word " * (d * 37 % 90)) for d in range(60)] + [(100, None), (101, "x " * 300)])
+    matrix = packing.pack_matrix(docs, capacity=64)
+    want = {r["sequence_id"]: (bytes(r["ids"]), r["cu_lengths"]) for r in matrix.collect()}
+    path = f"file://{tmp_path}/shards"
+    packing.write_shards(matrix, path, shard_rows=8)
+    got = packing.read_shards(spark, path, 64).collect()
+    assert {r["sequence_id"]: (bytes(r["ids"]), r["cu_lengths"]) for r in got} == want and all(r["intact"] for r in got) and len(got) == len(want)
+    some = [3, 9, 10**9]
+    assert {r["sequence_id"] for r in packing.read_shards(spark, path, 64, some).collect()} == {3, 9}
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert sum(r["n_rows"] for r in index) == len(want) and len(index) == -(-len(want) // 8)
+
+
+def test_short_lines_are_compared_like_long_ones(spark):
+    from millrace.llm import lines
+
+    # 19 characters, the last one changed: 14 of 16 windows in common. Four characters: one window each.
+    texts = ["abcdefghijklmnopqrs\nabcd\nab", "abcdefghijklmnopqrt\nabce\nab"]
+    got = {r["doc_id"]: r["dropped"] for r in lines.line_report(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "", 1: "0,2"}
