@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog_evaluation as evaluation
-from . import catalog_chunks, catalog_grounding, catalog_pools, catalog_tuning
+from . import catalog_chunks, catalog_grounding, catalog_pools, catalog_stress, catalog_tuning
 from . import catalog_signals as signals
 from . import oracles
 from .functions import fixed
@@ -327,5 +327,5 @@ QUERIES = {
     )
 }
 
-QUERIES |= signals.QUERIES | evaluation.QUERIES | catalog_tuning.QUERIES | catalog_grounding.QUERIES | catalog_chunks.QUERIES | catalog_pools.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL | catalog_tuning.ORACLE_SQL | catalog_grounding.ORACLE_SQL | catalog_chunks.ORACLE_SQL | catalog_pools.ORACLE_SQL
+QUERIES |= signals.QUERIES | evaluation.QUERIES | catalog_tuning.QUERIES | catalog_grounding.QUERIES | catalog_chunks.QUERIES | catalog_pools.QUERIES | catalog_stress.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | signals.ORACLE_SQL | evaluation.ORACLE_SQL | catalog_tuning.ORACLE_SQL | catalog_grounding.ORACLE_SQL | catalog_chunks.ORACLE_SQL | catalog_pools.ORACLE_SQL | catalog_stress.ORACLE_SQL
