@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..functions import vectors as V
+from ..functions.storage import materialise
+from .clustering import similar_pairs
 
 SUPPORTIVE = ["supportive", "descriptive", "mixed"]
 NEAR = 0.72
@@ -21,17 +22,17 @@ def claim_key(words: Column) -> Column:
 def near_shares(rows: DataFrame, by: list[str]) -> DataFrame:
     """``by, repetition``: the share of a group's pairs of claims whose token sets are nearly equal.
 
-    Equal sets are counted once with their number, so a group of copies makes no pairs; only different sets of one group meet.
+    Equal sets are counted once with their number, so a group of copies makes no pairs; different sets of one group meet only
+    by their rarest tokens (an exact prefix filter), so a common claim key is not compared with itself throughout.
     """
-    sets = rows.select(*by, F.sort_array(F.array_distinct("_tokens")).alias("s")).groupBy(*by, "s").agg(F.count("*").alias("m"))
-    sets = sets.withColumn("h", F.sha1(F.array_join("s", " ")))
-    left = sets.select(*by, F.col("s").alias("x"), F.col("m").alias("mx"), F.col("h").alias("hx"))
-    right = sets.select(*by, F.col("s").alias("y"), F.col("m").alias("my"), F.col("h").alias("hy"))
-    apart = left.join(right, by).where("hx < hy").where(V.jaccard(F.col("x"), F.col("y")) >= NEAR)
-    near = apart.select(*by, (F.col("mx") * F.col("my")).alias("near"), F.lit(0).cast("long").alias("n"))
-    same = sets.select(*by, F.when(F.size("s") > 0, F.expr("m * (m - 1) div 2")).otherwise(0).cast("long").alias("near"), F.col("m").alias("n"))
-    totals = near.unionByName(same).groupBy(*by).agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
-    return totals.select(*by, F.when(F.col("n") > 1, F.col("near") / F.expr("n * (n - 1) div 2")).otherwise(0.0).alias("repetition"))
+    sets = rows.select(F.struct(*by).alias("block"), F.sort_array(F.array_distinct("_tokens")).alias("terms")).groupBy("block", "terms").agg(F.count("*").alias("m"))
+    sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    apart = similar_pairs(sets.where("size(terms) > 0"), NEAR)
+    many = sets.select("block", F.col("id").alias("u"), F.col("m").alias("mu"))
+    near = apart.join(many, ["block", "u"]).join(many.select("block", F.col("u").alias("v"), F.col("mu").alias("mv")), ["block", "v"]).select("block", (F.col("mu") * F.col("mv")).alias("near"), F.lit(0).cast("long").alias("n"))
+    same = sets.select("block", F.when(F.size("terms") > 0, F.expr("m * (m - 1) div 2")).otherwise(0).cast("long").alias("near"), F.col("m").alias("n"))
+    totals = near.unionByName(same).groupBy("block").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
+    return totals.select("block.*", F.when(F.col("n") > 1, F.col("near") / F.expr("n * (n - 1) div 2")).otherwise(0.0).alias("repetition"))
 
 
 def groups(found: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: list[s
     good = qrels.where("relevance > 0")
     ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "doc_id"))
     gain = F.pow(F.lit(2.0), F.col("relevance")) - 1
-    ideal = good.withColumn("r", ideal_rank).groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= k, gain / F.log2(F.col("r") + 1.0))).alias("ideal"))
+    # Only the first k of a query's relevant documents are ordered (each task hands on k); all are counted.
+    best = good.withColumn("r", ideal_rank).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain / F.log2(F.col("r") + 1.0)).alias("ideal"))
+    ideal = good.groupBy("query_id").agg(F.count("*").alias("relevant")).join(best, "query_id")
     hits = ranked.where(F.col("rank") <= k).join(good, ["query_id", "doc_id"])
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
     found = hits.withColumn("nth", nth).groupBy(*by).agg(F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.count("*").alias("hits"), F.sum(F.col("nth") / F.col("rank")).alias("precision"), F.min("rank").alias("first"))
