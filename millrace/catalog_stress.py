@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog_tuning import CAND, KNOWN, NAMED, candidates, metrics_sql
 from .functions import fixed_policies
 from .functions.storage import materialise
-from .operators import retrieval, stress, tuning
+from .operators import audits, retrieval, stress, tuning
 from .oracles import BM25, ROUGH, contains_any, words
 
 LIST, FLOOR = 5, 1
@@ -54,7 +54,23 @@ def disagreement_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-QUERIES = {f.__name__: f for f in (ranking_stability, slice_boards, disagreement_preservation)}
+def diversity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one document a source adds to each query's five most relevant candidates."""
+    rows, _ = candidates(spark, sf_dir)
+    ranked = retrieval.top_k(rows.withColumnRenamed("rank", "old"), 20, [F.desc("relevance"), F.asc("old")]).select("query_id", "doc_id", F.col("source").alias("cluster"), F.col("overlap").alias("focus"), "relevance", "rank")
+    ranked = materialise(ranked, "ranked")
+    spread = retrieval.cap_per_parent(ranked, "cluster", 1).where(F.col("new_rank") <= LIST)
+    return audits.diversity_gain(ranked.where(F.col("rank") <= LIST), spread)
+
+
+def judgment_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of judgments made of the labels: quality as grade (toxic ones negative, some no numbers), dealt over fifty queries of which some are unknown."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = labels.select((F.col("doc_id") % 50).cast("string").alias("query_id"), F.when(F.col("doc_id") % 97 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("doc_id"), F.when(F.col("doc_id") % 41 == 0, "good").when(F.col("toxic") == 1, "-1").otherwise(F.col("quality").cast("string")).alias("relevance"))
+    return audits.qrels_issues(_asked(spark, sf_dir).select(F.col("query_id").cast("string").alias("query_id"), F.when(F.col("query_id") % 7 != 0, F.col("text")).alias("text")), judged)
+
+
+QUERIES = {f.__name__: f for f in (ranking_stability, slice_boards, disagreement_preservation, diversity_audit, judgment_issues)}
 
 W = words("text")
 VARIED = f"""variants AS (SELECT item_id * 10 + 1 AS item_id, upper(coalesce(text, '')) AS text FROM benchmark
@@ -86,4 +102,19 @@ pool AS (SELECT query_id, list(DISTINCT stance) AS had FROM st GROUP BY query_id
 kept_ AS (SELECT 'plain' AS lists, query_id, list(DISTINCT stance) AS has FROM k WHERE p <= {LIST} GROUP BY query_id UNION ALL SELECT 'preserving', query_id, list(DISTINCT stance) FROM k WHERE n <= {LIST} GROUP BY query_id)
 SELECT lists, query_id, len(had)::INT AS stances, len(has)::INT AS kept, round(len(list_intersect(had, has)) / len(had), 6) AS preserved,
   CASE WHEN list_contains(had, 'supportive') AND list_contains(had, 'critical') THEN (list_contains(has, 'supportive') AND list_contains(has, 'critical'))::INT ELSE 1 END AS contradiction_kept FROM pool JOIN kept_ USING (query_id)""",
+    "diversity_audit": f"""WITH {CAND},
+r AS (SELECT query_id, doc_id, source AS cluster, overlap AS focus, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, old_rank) AS rank FROM cand),
+m AS (SELECT *, (row_number() OVER (PARTITION BY query_id, cluster ORDER BY rank) > 1)::INT AS o FROM r),
+sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, rank) AS nr FROM m),
+old AS (SELECT query_id, count(*) AS n_old, list(DISTINCT cluster) AS oc FROM r WHERE rank <= {LIST} GROUP BY query_id),
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (rank > {LIST}) AS added, count(*) FILTER (rank > {LIST} AND NOT list_contains(oc, cluster) AND focus >= 0.25) AS useful, count(*) FILTER (rank > {LIST} AND focus = 0 AND relevance < 0.35) AS noisy, count(DISTINCT cluster) AS clusters, any_value(len(oc)) AS old, any_value(n_old) AS n_old FROM sp JOIN old USING (query_id) WHERE nr <= {LIST} GROUP BY query_id),
+q AS (SELECT query_id, added, n_old - (n - added) AS removed, (clusters - old)::BIGINT AS cluster_delta, round((n - added) / (n_old + added), 6) AS overlap, round(coalesce(useful / nullif(added, 0), 0), 6) AS breadth_precision, round(coalesce(noisy / nullif(added, 0), 0), 6) AS noise_rate FROM g)
+SELECT *, CASE WHEN cluster_delta <= 0 THEN 'no_diversity_gain' WHEN breadth_precision >= 0.5 AND noise_rate <= 0.25 THEN 'useful_breadth' WHEN noise_rate >= 0.5 THEN 'noisy_breadth' ELSE 'mixed_breadth' END AS verdict FROM q""",
+    "judgment_issues": """WITH q AS (SELECT item_id::VARCHAR AS query_id, CASE WHEN item_id % 7 <> 0 THEN text END AS text FROM benchmark),
+j AS (SELECT (doc_id % 50)::VARCHAR AS query_id, CASE WHEN doc_id % 97 = 0 THEN '' ELSE doc_id::VARCHAR END AS doc_id, CASE WHEN doc_id % 41 = 0 THEN 'good' WHEN toxic = 1 THEN '-1' ELSE quality::VARCHAR END AS relevance FROM labels),
+jj AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS twice, TRY_CAST(relevance AS DOUBLE) AS grade, query_id IN (SELECT query_id FROM q) AS known FROM j)
+SELECT 'missing_query_text' AS issue, query_id, NULL AS doc_id FROM q WHERE coalesce(trim(text), '') = ''
+UNION SELECT 'missing_relevance', query_id, NULL FROM q WHERE query_id NOT IN (SELECT query_id FROM j)
+UNION SELECT 'blank_doc_id', query_id, doc_id FROM jj WHERE doc_id = '' UNION SELECT 'invalid_relevance', query_id, doc_id FROM jj WHERE grade IS NULL UNION SELECT 'negative_relevance', query_id, doc_id FROM jj WHERE grade < 0
+UNION SELECT 'unknown_query', query_id, doc_id FROM jj WHERE NOT known UNION SELECT 'duplicate_judgment', query_id, doc_id FROM jj WHERE doc_id <> '' AND twice > 1""",
 }

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed, fixed_policies
-from millrace.operators import decisions, evidence, retrieval, stress
+from millrace.operators import audits, decisions, evidence, retrieval, stress
 from millrace.plans import staged
 
 TEXTS = ["solar storage costs", "storage fire risk solar sites", "wind costs rise", "solar solar storage", "fish market", None, "storage of heat costs money", "wind and solar"]
@@ -135,3 +135,22 @@ def test_staged_policies_share_one_first_stage(spark):
     # Relevance is 1 at most; the excluded word costs 0.6 of it, the unknown source 15 % of the rest.
     assert all(r["score"] <= 0.34 for r in by[2, "lexical"] if r["doc_id"] == 2)
     assert len({r["source"] for r in by[1, "diverse"][:2]}) == 2
+
+
+def test_diversity_verdicts(spark):
+    schema = "query_id long, doc_id long, cluster string, focus double, relevance double"
+    plain = spark.createDataFrame([(q, d, "a", 0.5, 0.9) for q in range(6) for d in (1, 2)], schema)
+    lists = [(0, 1, "a", 0.5, 0.9), (0, 2, "a", 0.5, 0.9), (1, 1, "a", 0.5, 0.9), (1, 9, "b", 0.3, 0.1), (2, 1, "a", 0.5, 0.9), (2, 9, "b", 0.0, 0.1), (3, 1, "a", 0.5, 0.9), (3, 9, "b", 0.1, 0.9), (4, 1, "a", None, 0.9), (4, 9, "b", None, 0.6), (5, 1, "a", 0.5, 0.9), (5, 9, "b", 0.9, 0.9)]
+    diverse = spark.createDataFrame(lists, schema).withColumn("off_topic", F.col("query_id") == 5)
+    got = {r["query_id"]: (r["verdict"], r["added"], r["removed"], r["cluster_delta"]) for r in audits.diversity_gain(plain, diverse).collect()}
+    assert got == {0: ("no_diversity_gain", 0, 0, 0), 1: ("useful_breadth", 1, 1, 1), 2: ("noisy_breadth", 1, 1, 1), 3: ("mixed_breadth", 1, 1, 1), 4: ("useful_breadth", 1, 1, 1), 5: ("off_topic_breadth_risk", 1, 1, 1)}
+
+
+def test_issues_of_judgments(spark):
+    queries = spark.createDataFrame([("a", "x"), ("b", " "), ("b", "y"), (None, "z"), ("c", "w")], "query_id string, text string")
+    judged = spark.createDataFrame([("a", "d1", "1"), ("a", "d1", "2"), ("a", " ", "1"), ("b", "d2", "high"), ("b", "d3", "-0.5"), ("x", "d4", "1"), ("b", "d5", None)], "query_id string, doc_id string, relevance string")
+    got = {(r["issue"], r["query_id"], r["doc_id"]) for r in audits.qrels_issues(queries, judged).collect()}
+    assert got == {
+        ("duplicate_query_id", "b", None), ("missing_query_text", "b", None), ("missing_query_id", None, None), ("missing_relevance", None, None), ("missing_relevance", "c", None), ("duplicate_judgment", "a", "d1"), ("blank_doc_id", "a", " "),
+        ("invalid_relevance", "b", "d2"), ("negative_relevance", "b", "d3"), ("unknown_query", "x", "d4"), ("invalid_relevance", "b", "d5"),
+    }
