@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .functions import fixed
 from .functions import text as T
 from .functions.storage import materialise
-from .operators import grounding, retrieval
-from .oracles import BM25, claims, safety, text_list, words
+from .operators import context, evidence, grounding, retrieval
+from .oracles import BM25, OVERLAP, SIGNALS, claims, contains_any, safety, text_list, words
 
 EVIDENCE_PER_QUERY = 5
 LEAST_SHARE = 0.8
@@ -53,7 +53,32 @@ def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.aligned(sentences, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["conv_id", "turn", "position"], LEAST_SHARE)
 
 
-QUERIES = {f.__name__: f for f in (composed_answers, answer_verification, answer_faithfulness, faithfulness_board, sentence_alignment)}
+def _packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packets of each query's ten best documents; a labelled document's claims have the stance of its review."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    tokens = materialise(retrieval.tokenised(docs), "tokens")
+    top = materialise(retrieval.bm25_top_k(queries, docs, 10, tokens), "top")
+    overlap = retrieval.overlap_scores(queries, top, docs, tokens)
+    wanted = materialise(docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
+    scanned = evidence.safety_scan(wanted, "text").select("doc_id", F.col("decision").alias("safety_decision"))
+    most = top.groupBy("query_id").agg(F.max("score").alias("most"))
+    rows = top.join(most, "query_id").withColumn("relevance", F.round(F.col("score") / F.col("most"), 6)).drop("most").join(overlap, ["query_id", "doc_id"]).join(evidence.chunk_signals(wanted), "doc_id").join(scanned, "doc_id")
+    review = F.when(F.col("toxic") == 1, "critical").when(F.col("quality") == 0, "mixed").otherwise("supportive")
+    said = evidence.claims(wanted).join(wanted.select("doc_id", F.lower("source").alias("fingerprint")), "doc_id").join(labels.select("doc_id", review.alias("review")), "doc_id", "left")
+    said = materialise(said.withColumn("stance", F.coalesce("review", "stance")), "claims")
+    return context.packets(materialise(rows, "rows"), said, EVIDENCE_PER_QUERY)
+
+
+def context_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packets(spark, sf_dir)[0]
+
+
+def packet_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packets(spark, sf_dir)[1].select("query_id", "groups", "max_independent", "support", "contradictions", "max_echo_risk", "overall_verdict")
+
+
+QUERIES = {f.__name__: f for f in (composed_answers, answer_verification, answer_faithfulness, faithfulness_board, sentence_alignment, context_packets, packet_corroboration)}
 
 
 def content(text: str, stop: list[str]) -> str:
@@ -104,7 +129,36 @@ b AS (SELECT *, CASE WHEN n_valid > 0 AND (sup >= 0.12 OR attached) THEN 1.0 ELS
 f AS (SELECT query_id, variant, round(avg(CASE WHEN n_cited > 0 THEN round(n_valid / n_cited, 6) ELSE 0 END), 6) AS citation_validity, round(avg(round(sup, 6)), 6) AS evidence_token_support, round(avg(backed), 6) AS claim_backing_rate, round(avg(1 - backed), 6) AS unsupported_sentence_rate FROM b GROUP BY ALL),
 faith AS (SELECT *, round(citation_validity * 0.35::DOUBLE + evidence_token_support * 0.35::DOUBLE + claim_backing_rate * 0.3::DOUBLE, 6) AS faithfulness_score FROM f)"""
 
+PACKETS = f"""{OVERLAP}, {claims().replace("toks AS", "ctoks AS").replace("FROM toks", "FROM ctoks")}, {safety('documents', 'doc_id', 'text')},
+sig AS (SELECT doc_id, source, {SIGNALS} FROM documents),
+ev AS (SELECT ov.query_id, ov.doc_id, old_rank AS rank, bm_score AS score, overlap, round(bm_score / max(bm_score) OVER (PARTITION BY query_id), 6) AS relevance, limitation_signal, method_signal, evidence_specificity, source, decision IN ('block', 'quarantine') AS unsafe FROM ov JOIN sig USING (doc_id) JOIN scanned ON k = doc_id WHERE old_rank <= 10),
+said AS (SELECT kept.*  REPLACE (CASE WHEN toxic = 1 THEN 'critical' WHEN quality = 0 THEN 'mixed' WHEN quality IS NOT NULL THEN 'supportive' ELSE stance END AS stance) FROM kept LEFT JOIN labels USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM ev)),
+named AS (SELECT query_id, doc_id, sentence, stance, ws, lower(source) AS fingerprint, array_to_string(list_sort(list_distinct(list_filter(ws, lambda x: length(x) >= 5 AND NOT list_contains({text_list(fixed.CLAIM_KEY_STOP)}, x))))[1:8], ' ') AS claim_key FROM said JOIN ev USING (doc_id) WHERE NOT unsafe),
+nk AS (SELECT * FROM named WHERE claim_key <> ''),
+sets AS (SELECT query_id, claim_key, list_sort(list_distinct(ws)) AS s, count(*) AS m FROM nk GROUP BY ALL),
+near AS (SELECT query_id, claim_key, sum(n) AS near FROM (SELECT query_id, claim_key, CASE WHEN len(s) > 0 THEN m * (m - 1) // 2 ELSE 0 END AS n FROM sets UNION ALL
+  SELECT x.query_id, x.claim_key, x.m * y.m FROM sets x JOIN sets y ON x.query_id = y.query_id AND x.claim_key = y.claim_key AND x.s < y.s WHERE len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) >= 0.72) GROUP BY ALL),
+gc AS (SELECT query_id, claim_key, count(*) AS claims, count(*) FILTER (stance IN ('supportive', 'descriptive', 'mixed')) AS support, count(DISTINCT fingerprint) FILTER (stance IN ('supportive', 'descriptive', 'mixed')) AS independent,
+  count(*) FILTER (stance = 'critical') AS contradictions, avg({contains_any('sentence', fixed.DEPENDENCE_MARKERS)}::INT) AS markers FROM nk GROUP BY ALL),
+ge AS (SELECT *, round(least(1.0::DOUBLE, (support - independent) / claims * 0.35::DOUBLE + (1 - independent / claims) * 0.25::DOUBLE + CASE WHEN claims > 1 THEN near / (claims * (claims - 1) // 2) ELSE 0 END * 0.25::DOUBLE + markers * 0.15::DOUBLE), 6) AS echo_risk FROM gc JOIN near USING (query_id, claim_key)),
+grp AS (SELECT *, CASE WHEN echo_risk >= 0.45 AND independent <= 1 THEN 'adversarial_echo_risk' WHEN contradictions > 0 THEN 'conflicted' WHEN independent >= 2 THEN 'independently_corroborated' WHEN independent = 1 THEN 'single_source_or_dependent' ELSE 'no_support' END AS verdict FROM ge)"""
+
 ORACLE_SQL = {
+    "packet_corroboration": f"""WITH {PACKETS},
+o AS (SELECT query_id, count(*) AS groups, max(independent) AS max_independent, sum(support)::BIGINT AS support, sum(contradictions)::BIGINT AS contradictions, max(echo_risk) AS max_echo_risk, bool_or(verdict = 'adversarial_echo_risk') AS echo FROM grp GROUP BY query_id)
+SELECT query_id, groups, max_independent, support, contradictions, max_echo_risk, CASE WHEN echo THEN 'adversarial_echo_risk' WHEN contradictions > 0 THEN 'conflicted' WHEN max_independent >= 2 THEN 'independently_corroborated' WHEN support > 0 THEN 'single_source_or_dependent' ELSE 'no_support' END AS overall_verdict FROM o""",
+    "context_packets": f"""WITH {PACKETS},
+cor AS (SELECT DISTINCT query_id, doc_id FROM nk JOIN grp USING (query_id, claim_key) WHERE verdict = 'independently_corroborated'),
+bc AS (SELECT doc_id, stance, ws FROM said QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, position) = 1),
+tc AS (SELECT doc_id, stance, list(t) AS topics FROM (SELECT doc_id, stance, t, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, t) AS r FROM (SELECT doc_id, stance, unnest(list_filter(ws, lambda w: length(w) >= 4)) AS t FROM bc) GROUP BY doc_id, stance, t) WHERE r <= 8 GROUP BY doc_id, stance),
+q AS (SELECT query_id, doc_id, stance, topics FROM ev JOIN tc USING (doc_id) WHERE NOT unsafe),
+link AS (SELECT DISTINCT a.query_id, a.doc_id FROM q a JOIN q b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id AND ((a.stance = 'supportive' AND b.stance IN ('critical', 'mixed')) OR (b.stance = 'supportive' AND a.stance IN ('critical', 'mixed'))) AND len(list_intersect(a.topics, b.topics)) >= 2),
+r AS (SELECT ev.*, CASE WHEN bc.stance = 'critical' OR link.doc_id IS NOT NULL THEN 'contradicting_source' WHEN limitation_signal >= 0.35 THEN 'limitation_or_caveat' WHEN method_signal >= 0.35 THEN 'method_detail' WHEN cor.doc_id IS NOT NULL THEN 'corroborating_source' WHEN overlap >= 0.25 OR relevance > 0 THEN 'direct_evidence' ELSE 'contextual_background' END AS role
+  FROM ev LEFT JOIN bc USING (doc_id) LEFT JOIN link ON link.query_id = ev.query_id AND link.doc_id = ev.doc_id LEFT JOIN cor ON cor.query_id = ev.query_id AND cor.doc_id = ev.doc_id WHERE NOT unsafe),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY score DESC, relevance DESC, evidence_specificity DESC, rank) = 1 AS first FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, CASE WHEN first THEN list_position({text_list(context.ROLE_ORDER)}, role) ELSE 0 END, score DESC, relevance DESC, evidence_specificity DESC, rank) AS place FROM f),
+x AS (SELECT query_id, count(*) FILTER (unsafe) AS excluded FROM ev GROUP BY query_id)
+SELECT query_id, doc_id, place, role, CASE role WHEN 'contradicting_source' THEN 'use_for_conflict_or_caveat' WHEN 'limitation_or_caveat' THEN 'use_for_limitations' WHEN 'method_detail' THEN 'use_for_method_context' ELSE 'use_as_supporting_evidence' END AS allowed_use, excluded FROM p JOIN x USING (query_id) WHERE place <= {EVIDENCE_PER_QUERY}""",
     "composed_answers": f"WITH {ANSWERS} SELECT query_id, variant, len({sentences('answer')})::INT AS sentences, sha1(answer) AS answer_sha1 FROM answers",
     "answer_verification": f"""WITH {ANSWERS}, {reports(grounding.CHECK_STOP, True)},
 r AS (SELECT query_id, variant, count(*) AS sentences, count(*) FILTER (n_words > 0 AND NOT starts_with(lower(sentence), {quoted(grounding.EXEMPT[0])}) AND NOT starts_with(lower(sentence), {quoted(grounding.EXEMPT[1])}) AND NOT (n_valid > 0 AND (n_covered / n_words >= 0.12 OR attached))) AS unsupported,

@@ -1,9 +1,10 @@
 """Composed answers, citation checks, faithfulness and sentence alignment against plain Python."""
 
 import math
+import random
 import re
 
-from millrace.operators import grounding
+from millrace.operators import context, grounding
 
 FOUND = "query_id long, citation_id string, rank int, doc_id long, preview string, claim string, stance string, safety_decision string, allowed boolean"
 ROWS = [
@@ -115,3 +116,26 @@ def test_alignment_is_the_best_share_of_all(spark):
             words = content(s, grounding.CHECK_STOP)
             fit = [(-round(len(words & has) / len(words), 6), d, p) for d, p, has in told if words and len(words & has) >= math.ceil(len(words) * least)]
             assert got[i] == ((min(fit)[1], min(fit)[2], -min(fit)[0]) if fit else (None, None, None)), (least, s)
+
+
+def test_conflict_links_within_a_query(spark):
+    rng = random.Random(11)
+    words = ["alpha", "bravo", "charlie", "delta", "echoes"]
+    rows = [(q, d, rng.choice(["supportive", "critical", "mixed", "descriptive"]), rng.sample(words, rng.randint(0, 4))) for q in range(12) for d in range(7)]
+    got = {(r["query_id"], r["doc_id"]) for r in context.conflict_linked(spark.createDataFrame(rows, "query_id long, doc_id long, stance string, topics array<string>")).collect()}
+    opposed = lambda a, b: (a == "supportive" and b in ("critical", "mixed")) or (b == "supportive" and a in ("critical", "mixed"))
+    assert got == {(q, d) for q, d, s, t in rows if any(p == q and e != d and opposed(s, u) and len(set(t) & set(v)) >= 2 for p, e, u, v in rows)} and got
+
+
+def test_packets_have_something_of_every_role(spark):
+    names = "query_id long, doc_id long, rank int, score double, relevance double, overlap double, limitation_signal double, method_signal double, evidence_specificity double, safety_decision string"
+    rows = [(1, 1, 1, 9.0, 1.0, 0.5, 0.0, 0.0, 0.0, "allow"), (1, 2, 2, 8.0, 0.9, 0.5, 0.4, 0.0, 0.0, "allow"), (1, 3, 3, 7.0, 0.8, 0.5, 0.0, 0.5, 0.0, "allow"), (1, 4, 4, 6.0, 0.7, 0.1, 0.0, 0.0, 0.0, "block"), (1, 5, 5, 5.0, 0.6, 0.1, 0.0, 0.0, 0.0, "allow"), (1, 6, 6, 4.0, 0.5, 0.1, 0.0, 0.0, 0.0, "sanitize"), (1, 7, 7, 3.0, 0.4, 0.1, 0.0, 0.0, 0.0, "allow"), (1, 8, 8, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, "allow")]
+    said = [(1, 0, "supportive", 0.9, ["panels", "prices"], "s1"), (5, 0, "critical", 0.9, ["panels", "prices", "fall"], "s5"), (6, 0, "descriptive", 0.9, ["turbine", "blades", "crack"], "s6"), (7, 0, "descriptive", 0.9, ["turbine", "blades", "crack"], "s7"), (4, 0, "critical", 0.9, ["unsafe"], "s4")]
+    claims = spark.createDataFrame([(d, p, s, c, t, f, " ".join(t)) for d, p, s, c, t, f in said], "doc_id long, position int, stance string, confidence double, _tokens array<string>, fingerprint string, sentence string")
+    packet, summary = context.packets(spark.createDataFrame(rows, names), claims, 7)
+    got = [(r["doc_id"], r["role"], r["allowed_use"], r["excluded"]) for r in packet.orderBy("place").collect()]
+    assert [d for d, *_ in got] == [3, 2, 6, 1, 8, 5, 7]
+    assert {d: r for d, r, *_ in got} == {1: "contradicting_source", 2: "limitation_or_caveat", 3: "method_detail", 5: "contradicting_source", 6: "corroborating_source", 7: "corroborating_source", 8: "contextual_background"}
+    assert {u for _, r, u, _ in got if r == "contradicting_source"} == {"use_for_conflict_or_caveat"} and {x for *_, x in got} == {1}
+    row = summary.first()
+    assert (row["max_independent"], row["contradictions"], row["overall_verdict"]) == (2, 1, "conflicted")
