@@ -26,9 +26,12 @@ def query_targets(text: Column) -> Column:
     return F.when(F.exists(targets, lambda x: x > 0), targets).otherwise(general)
 
 
-def text_vector(text: Column) -> Column:
-    """The ten values of a text, each from 0 to 1, as an array in the order of ``CATEGORIES``."""
-    words, raw = T.tokens(text), F.coalesce(text, F.lit(""))
+def text_vector(text: Column, words: Column | None = None) -> Column:
+    """The ten values of a text, each from 0 to 1, as an array in the order of ``CATEGORIES``.
+
+    ``words`` is a column of the text's distinct tokens where there is one: each category reads it, so that it should not be an expression.
+    """
+    words, raw = T.tokens(text) if words is None else words, F.coalesce(text, F.lit(""))
     signals = {name: T.marker_score(text, markers, by) for name, (markers, by) in fixed.SIGNAL_MARKERS.items()}
     values = {c: share_of(words, [*terms, *fixed.SYNTAX_DOCUMENT_TERMS[c]], 4.0) for c, terms in fixed.SYNTAX_QUERY_TERMS.items()}
     floors = {

@@ -58,6 +58,8 @@ def scored(queries: DataFrame, docs: DataFrame, policies: dict[str, dict[str, fl
     rows = enriched(materialise(first_stage(queries, docs, candidates), "found"), docs)
     asked = materialise(decisions.controls(queries), "controls")
     unwanted = asked.where("size(excluded) > 0").select("query_id", "excluded")
+    if not unwanted.limit(1).count():
+        return decisions.decided(rows.join(asked.drop("excluded"), "query_id").withColumn("excluded_share", F.lit(0.0)), policies)
     words = docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
     shares = rows.select("query_id", "doc_id").join(unwanted, "query_id").join(words, "doc_id").select("query_id", "doc_id", (F.size(F.array_intersect("excluded", "words")) / F.size("excluded")).alias("excluded_share"))
     return decisions.decided(rows.join(asked.drop("excluded"), "query_id").join(shares, ["query_id", "doc_id"], "left"), policies)
