@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +25,25 @@ def scratch_uri(spark: SparkSession, name: str) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_written = threading.local()
+
+
+@contextmanager
+def keeping_last(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialise`` writes inside, but for the last one, which must hold all that is needed of the others."""
+    scopes = _written.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        paths = scopes.pop()
+        for path in paths[:-1]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if scopes:
+            scopes[-1] += paths[-1:]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back, which cuts its lineage; the shuffle files that it took are removed once it is written."""
     spark = df.sparkSession
@@ -32,6 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
+    if scopes := getattr(_written, "scopes", None):
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

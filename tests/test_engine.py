@@ -209,3 +209,22 @@ def test_conflicts_by_brute_force(spark):
                 want.add((*min(left), *min(right), b, len(left), len(right), ",".join(sorted(set(s) & set(t))), "within_cluster_tension" if x == y else "cross_cluster_tension", 0.65 if x == y else 0.8))
     got = [tuple(r) for r in evidence.conflicts(claims).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_scratch_tables_go_but_for_the_last(spark):
+    from pathlib import Path
+
+    from millrace.functions import storage
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    with storage.keeping_last(spark):
+        first = storage.materialise(spark.range(5).toDF("id"), "scratch-a")
+        with storage.keeping_last(spark):
+            inner = storage.materialise(first.select((F.col("id") * 2).alias("id")), "scratch-b")
+            middle = storage.materialise(inner.where("id > 2"), "scratch-c")
+        last = storage.materialise(middle.join(first, "id", "left"), "scratch-d")
+    assert sorted(p.name[:9] for p in root.iterdir() if p.name.startswith("scratch-")) == ["scratch-d"]
+    assert sorted(r["id"] for r in last.collect()) == [4, 6, 8]
+    with storage.keeping_last(spark):
+        empty = storage.materialise(spark.range(0).toDF("id"), "scratch-e")
+    assert empty.count() == 0
