@@ -50,8 +50,12 @@ def sliced(queries: DataFrame, topics: dict[str, list[str]], long_words: int = 3
 
 
 def slice_boards(scores: DataFrame, slices: DataFrame, method: str = "policy", value: str = "ndcg", near: float = 0.01) -> DataFrame:
-    """``slice, method, queries, mean, place, near_tie``: the methods' places in each slice; a near tie is at most ``near`` behind the one before."""
-    means = slices.join(scores, "query_id").groupBy("slice", method).agg(F.count("*").alias("queries"), F.round(F.avg(value), 6).alias("mean"))
+    """``slice, method, queries, mean, place, near_tie``: the methods' places in each slice; a near tie is at most ``near`` behind the one before.
+
+    Values, which have six decimals, are summed in millionths, so that a mean halfway between two of them is rounded up whatever the order of addition.
+    """
+    total = F.sum(F.round(F.col(value) * 1_000_000).cast("long"))
+    means = slices.join(scores, "query_id").groupBy("slice", method).agg(F.count("*").alias("queries"), F.round(total / (F.count(value) * 1_000_000), 6).alias("mean"))
     order = Window.partitionBy("slice").orderBy(F.desc("mean"), method)
     gap = F.round(F.lag("mean").over(order) - F.col("mean"), 6)
     return means.withColumns({"place": F.row_number().over(order), "near_tie": F.coalesce(gap <= near, F.lit(False))})

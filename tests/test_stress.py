@@ -154,3 +154,11 @@ def test_issues_of_judgments(spark):
         ("duplicate_query_id", "b", None), ("missing_query_text", "b", None), ("missing_query_id", None, None), ("missing_relevance", None, None), ("missing_relevance", "c", None), ("duplicate_judgment", "a", "d1"), ("blank_doc_id", "a", " "),
         ("invalid_relevance", "b", "d2"), ("negative_relevance", "b", "d3"), ("unknown_query", "x", "d4"), ("invalid_relevance", "b", "d5"),
     }
+
+
+def test_means_halfway_are_rounded_up(spark):
+    """The double mean of these two is 0.5892244999999999; the exact one is 0.5892245."""
+    queries = spark.createDataFrame([(1, "all"), (2, "all")], "query_id long, slice string")
+    scores = spark.createDataFrame([(1, "p", 0.185906), (2, "p", 0.992543)], "query_id long, policy string, ndcg double")
+    row = stress.slice_boards(scores, queries).first()
+    assert (row["queries"], row["mean"]) == (2, 0.589225)
