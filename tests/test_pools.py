@@ -180,6 +180,23 @@ def test_related_terms_and_expansion(spark):
     assert {(r["query_id"], r["doc_id"]): r["score"] for r in expansion.weighted_bm25(own, docs, 9).collect()} == plain
 
 
+def test_bounds_of_rare_terms_lose_none_of_the_best(spark):
+    """Lists are the same however few of the other terms are counted as a matrix, in blocks of query terms too."""
+    rng = random.Random(4)
+    vocabulary = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [" ".join({vocabulary[min(59, int(rng.expovariate(0.08)))] for _ in range(12)}) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame([(1, " ".join(vocabulary[::3]))], "query_id long, text string")
+    has = {w: {i for i, t in enumerate(texts) if w in t.split()} for w in vocabulary}
+    want = set()
+    for term in vocabulary[::3]:
+        near = sorted((-round(2 * len(has[term] & has[o]) / (len(has[term]) + len(has[o])), 6), o) for o in has if o != term and len(has[term] & has[o]) >= 3 and 3 <= len(has[o]) <= 30)
+        want |= {(term, o, -w, i + 1) for i, (w, o) in enumerate(near[:3])}
+    for counted, block in ((1, 4096), (4, 4096), (12, 7), (8192, 4096)):
+        got = expansion.related_terms(queries, docs, counted=counted, block=block).collect()
+        assert {(r["term"], r["other"], r["weight"], r["place"]) for r in got} == want
+
+
 def test_leaders_are_those_of_the_plain_loop(spark):
     rng = random.Random(9)
     for least in (0.42, 0.7):
