@@ -118,6 +118,18 @@ def test_alignment_is_the_best_share_of_all(spark):
             assert got[i] == ((min(fit)[1], min(fit)[2], -min(fit)[0]) if fit else (None, None, None)), (least, s)
 
 
+def test_one_common_word_brings_no_sentences_together(spark, monkeypatch):
+    """Before, each of these met all of the others by their second rarest word."""
+    asked = spark.createDataFrame([(i, sorted([f"own{i}", "common1", "common2", "common3", "common4"])) for i in range(20)], "asked long, _words array<string>")
+    told = [(i, sorted(["common1", *[f"told{i}{j}" for j in range(4)]])) for i in range(20)]
+    table = lambda rows: spark.createDataFrame(rows, "told long, _words array<string>")
+    assert grounding.meeting(asked, table(told), 0.8).count() == 0
+    told.append((99, ["common1", "common2", "common3", "common4", "more"]))
+    assert {tuple(r) for r in grounding.meeting(asked, table(told), 0.8).collect()} == {(i, 99) for i in range(20)}
+    monkeypatch.setattr(grounding, "LONG", 1)
+    assert {(i, 99) for i in range(20)} <= {tuple(r) for r in grounding.meeting(asked, table(told), 0.8).collect()}
+
+
 def test_conflict_links_within_a_query(spark):
     rng = random.Random(11)
     words = ["alpha", "bravo", "charlie", "delta", "echoes"]
