@@ -36,6 +36,8 @@ def related_terms(queries: DataFrame, docs: DataFrame, most: int = 3, support: i
     The ``counted`` most frequent others are counted as a matrix within the tasks. Their weights bound the rest: a rarer other with d documents reaches at
     most 2 min(d, df) / (d + df), so it meets only the query terms whose list it may still enter. Query terms come in blocks of at most ``block``.
     """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs  # a small table in one file would be one task
     sets = materialise(docs.select("doc_id", term_set(F.col("text")).alias("terms")), "terms")
     n_docs = docs.count()
     frequency = materialise(sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= support).withColumn("id", F.monotonically_increasing_id()), "frequency")
