@@ -164,7 +164,8 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conflicts between claims, clustered by language; a labelled document's claims have the stance of its review, others that of their wording."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     review = F.when(F.col("toxic") == 1, "critical").when(F.col("quality") == 0, "mixed").otherwise("supportive")
-    claims = evidence.claims(docs).join(docs.select("doc_id", F.col("lang").alias("cluster")), "doc_id").join(labels.select("doc_id", review.alias("review")), "doc_id", "left")
+    said = evidence.claims(docs).select("doc_id", "position", "stance", evidence.sorted_topics(F.col("_tokens")).alias("topics"))
+    claims = said.join(docs.select("doc_id", F.col("lang").alias("cluster")), "doc_id").join(labels.select("doc_id", review.alias("review")), "doc_id", "left")
     return evidence.conflicts(claims.withColumn("stance", F.coalesce("review", "stance")))
 
 

@@ -93,6 +93,10 @@ def topic_tokens(words: Column, most: int = 8) -> Column:
     return F.slice(F.transform(ranked, lambda x: x["w"]), 1, most)
 
 
+def sorted_topics(words: Column) -> Column:
+    return F.array_sort(topic_tokens(words))
+
+
 # Score of a conflict within one cluster and across clusters.
 WITHIN, ACROSS = 0.65, 0.8
 
@@ -104,27 +108,29 @@ def conflicts(found: DataFrame, cluster: str = "cluster") -> DataFrame:
     no pairs: a row a pair of classes, with how many claims each has, ``shared_tokens``, ``conflict_type`` and ``score``. Classes of one
     and the same document are no conflict. Two sets of at most eight tokens share two of them exactly if they share a pair of tokens, so classes
     meet by pairs of tokens, supportive ones on one side and opposed ones on the other: whatever meets is a conflict, and no token is left out.
+    Classes bring their columns along and are handed on where they meet by their first two shared tokens, so that no pair of classes is shuffled.
+    ``found`` has ``_tokens`` or their ``sorted_topics`` as ``topics``.
     """
     named = F.col(cluster) if cluster in found.columns else F.lit(None)
-    rows = found.select("doc_id", "position", "stance", named.cast("string").alias("cluster"), F.array_sort(topic_tokens(F.col("_tokens"))).alias("topics")).where(F.size("topics") >= 2)
+    topics = F.col("topics") if "topics" in found.columns else sorted_topics(F.col("_tokens"))
+    rows = found.select("doc_id", "position", "stance", named.cast("string").alias("cluster"), topics.alias("topics")).where(F.size("topics") >= 2)
     rows = rows.where(F.col("stance").isin("supportive", "critical", "mixed"))
     classes = rows.groupBy("topics", "stance", "cluster").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("claims"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    pairs = F.flatten(F.transform("topics", lambda t, i: F.transform(F.slice("topics", i + 2, F.size("topics")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
-    keyed = classes.select("id", "stance", F.inline(pairs))
-    left = keyed.where("stance = 'supportive'").select("t", "u", F.col("id").alias("left_id"))
-    right = keyed.where("stance <> 'supportive'").select("t", "u", F.col("id").alias("right_id"))
-    met = left.join(right, ["t", "u"]).select("left_id", "right_id").distinct()
-
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("id").alias(f"{name}_id"), F.col("first.doc_id").alias(f"{name}_doc"), F.col("first.position").alias(f"{name}_position"), F.col("stance").alias(f"{name}_stance"), F.col("claims").alias(f"{name}_claims"), F.col("topics").alias(f"{name}_topics"), F.col("cluster").alias(f"{name}_cluster"), F.struct("low", "high").alias(f"{name}_docs"))
-
-    both = met.join(side("left"), "left_id").join(side("right"), "right_id")
-    alone = (F.col("left_docs.low") == F.col("left_docs.high")) & (F.col("right_docs.low") == F.col("right_docs.high")) & (F.col("left_docs.low") == F.col("right_docs.low"))
+    classes = materialise(classes, "classes")
+    pairs = F.flatten(F.transform("topics", lambda t, i: F.transform(F.slice("topics", i + 2, F.size("topics")), lambda u: F.xxhash64(t, u))))
+
+    def side(name: str, opposed: bool) -> DataFrame:
+        mine = classes.where((F.col("stance") != "supportive") if opposed else (F.col("stance") == "supportive"))
+        own = [F.col("first.doc_id").alias(f"{name}_doc"), F.col("first.position").alias(f"{name}_position"), F.col("stance").alias(f"{name}_stance"), F.col("claims").alias(f"{name}_claims"), F.col("topics").alias(f"{name}_topics"), F.col("cluster").alias(f"{name}_cluster"), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high")]
+        return mine.select(F.explode(F.array_distinct(pairs)).alias("key"), *own)
+
+    # Topics are sorted, and so are the shared ones: of the keys at which two classes meet, one is that of their first two.
+    met = side("left", False).join(side("right", True), "key").withColumn("_shared", F.array_intersect("left_topics", "right_topics"))
+    both = met.where((F.size("_shared") >= 2) & (F.xxhash64(F.get("_shared", F.lit(0)), F.get("_shared", F.lit(1))) == F.col("key")))
+    alone = (F.col("left_low") == F.col("left_high")) & (F.col("right_low") == F.col("right_high")) & (F.col("left_low") == F.col("right_low"))
     across = ~F.col("left_cluster").eqNullSafe(F.col("right_cluster"))
-    shared = F.array_intersect("left_topics", "right_topics")
     return both.where(~alone).select(
-        "left_doc", "left_position", "right_doc", "right_position", "right_stance", "left_claims", "right_claims", F.array_join(shared, ",").alias("shared_tokens"),
+        "left_doc", "left_position", "right_doc", "right_position", "right_stance", "left_claims", "right_claims", F.array_join("_shared", ",").alias("shared_tokens"),
         F.when(across, "cross_cluster_tension").otherwise("within_cluster_tension").alias("conflict_type"), F.when(across, ACROSS).otherwise(WITHIN).alias("score"),
     )
 

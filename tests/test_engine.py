@@ -211,6 +211,25 @@ def test_conflicts_by_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
+def test_conflicts_shuffle_no_pairs(spark):
+    """Behind the join in which classes meet there is no further exchange, so what is shuffled grows with the classes, not with their pairs."""
+    words = ["panels", "prices", "market", "storage"]
+    claims = spark.createDataFrame([(i, 0, ("supportive", "critical")[i % 2], [*words, f"word{i}"]) for i in range(200)], "doc_id long, position int, stance string, _tokens array<string>")
+    hint, limit = "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(hint), spark.conf.get(limit)
+    spark.conf.set(hint, "false")
+    spark.conf.set(limit, "-1")
+    try:
+        found = evidence.conflicts(claims)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set(hint, old[0])
+        spark.conf.set(limit, old[1])
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1
+    assert len(rows) == 100 * 100 and {r["shared_tokens"] for r in rows} == {",".join(sorted(words))}
+
+
 def test_scratch_tables_go_but_for_the_last(spark):
     from pathlib import Path
 
