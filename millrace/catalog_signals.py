@@ -93,7 +93,7 @@ def query_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syntax_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "documents").select(syntax.text_vector(F.col("text")).alias("vector"))
+    vectors = syntax.with_vector(table(spark, sf_dir, "documents").select("text")).select("vector")
     one = syntax.corpus_profile(vectors)
     return one.select(F.inline(F.arrays_zip(T.literals(syntax.CATEGORIES).alias("category"), F.col("counts").alias("texts"), F.col("weights").alias("weight")))).toDF("category", "texts", "weight").withColumn("weight", F.round("weight", 6))
 

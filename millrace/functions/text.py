@@ -95,12 +95,17 @@ def ngrams(terms: Column, n: int) -> Column:
 
 def occurrences(text: Column, marker: str) -> Column:
     """How often the marker stands in the text, without overlap."""
-    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker.encode())
 
 
 def marker_score(text: Column, markers: list[str], divisor: float) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = sum((occurrences(low, m) for m in markers[1:]), occurrences(low, markers[0]))
+    return marker_share(F.lower(F.coalesce(text, F.lit(""))), markers, divisor)
+
+
+def marker_share(low: Column, markers: list[str], divisor: float) -> Column:
+    """``marker_score`` of a text in lower case; a marker is counted only where a quicker search finds it."""
+    counts = [F.when(low.contains(m), occurrences(low, m)).otherwise(0.0) for m in markers]
+    hits = sum(counts[1:], counts[0])
     return F.least(F.lit(1.0), hits / divisor)
 
 

@@ -203,8 +203,7 @@ def first_stage(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     Ties go to the higher lexical score, then to the smaller id. ``query_id`` and ``doc_id`` are longs.
     """
     words = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text", X.tokens(F.col("text")).alias("words"))
-    distinct = words.select("doc_id", "text", "words", F.array_distinct("words").alias("own"))
-    tokens = materialise(with_hashed(distinct.select("doc_id", "words", syntax.text_vector(F.col("text"), F.col("own")).alias("vector"))), "tokens")
+    tokens = materialise(with_hashed(syntax.with_vector(words, words="words").select("doc_id", "words", "vector")), "tokens")
     size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_dl")).first()
     rarity = syntax.corpus_profile(tokens).first()["weights"]
     found = []

@@ -26,13 +26,15 @@ def query_targets(text: Column) -> Column:
     return F.when(F.exists(targets, lambda x: x > 0), targets).otherwise(general)
 
 
-def text_vector(text: Column, words: Column | None = None) -> Column:
+def text_vector(text: Column, words: Column | None = None, low: Column | None = None) -> Column:
     """The ten values of a text, each from 0 to 1, as an array in the order of ``CATEGORIES``.
 
-    ``words`` is a column of the text's distinct tokens where there is one: each category reads it, so that it should not be an expression.
+    ``words`` is a column of the text's distinct tokens and ``low`` of its lower-case form, null made empty, where there are such: each category
+    reads them, so that they should not be expressions (``with_vector``).
     """
     words, raw = T.tokens(text) if words is None else words, F.coalesce(text, F.lit(""))
-    signals = {name: T.marker_score(text, markers, by) for name, (markers, by) in fixed.SIGNAL_MARKERS.items()}
+    low = F.lower(raw) if low is None else low
+    signals = {name: T.marker_share(low, markers, by) for name, (markers, by) in fixed.SIGNAL_MARKERS.items()}
     values = {c: share_of(words, [*terms, *fixed.SYNTAX_DOCUMENT_TERMS[c]], 4.0) for c, terms in fixed.SYNTAX_QUERY_TERMS.items()}
     floors = {
         "method_detail": [signals["method_signal"]],
@@ -42,7 +44,15 @@ def text_vector(text: Column, words: Column | None = None) -> Column:
         "dialogue_or_transcript": [F.when(raw.rlike(fixed.SPEAKER), 0.85).otherwise(0.0)],
         "definition_or_taxonomy": [F.when(raw.rlike(fixed.DEFINITION), 0.85).otherwise(0.0)],
     }
-    return F.transform(F.array(*[F.greatest(values[c], *floors[c]) if c in floors else values[c] for c in CATEGORIES]), lambda x: F.round(x, 6))
+    # Rounded one by one: a lambda over the array would have all of its expressions interpreted, each reading the text anew.
+    return F.array(*[F.round(F.greatest(values[c], *floors[c]) if c in floors else values[c], 6) for c in CATEGORIES])
+
+
+def with_vector(rows: DataFrame, text: str = "text", words: str | None = None) -> DataFrame:
+    """Add ``vector``, the ``text_vector``; tokens (of the column ``words`` where there is one) and the lower-case form are made once a text."""
+    own = F.array_distinct(T.tokens(F.col(text)) if words is None else F.col(words))
+    made = rows.withColumns({"_own": own, "_low": F.lower(F.coalesce(F.col(text), F.lit("")))})
+    return made.withColumn("vector", text_vector(F.col(text), F.col("_own"), F.col("_low"))).drop("_own", "_low")
 
 
 def corpus_profile(vectors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -94,6 +94,18 @@ def test_first_stage_by_brute_force(spark):
     assert first_stage.first_stage(queries, docs.limit(0), 4).count() == 0
 
 
+def test_wording_reads_a_text_once(spark):
+    """The ten categories share one list of tokens: it is made by one expression, and the values are those of the text alone."""
+    texts = ["However the sample may show bias, 12% of it.", "Q: is it so?\nA: a loss means risk", None, "", "METHODS and Data, the İstanbul court held"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = syntax.with_vector(docs)
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "lambdafunction(round" not in plan
+    want = {r["doc_id"]: r["v"] for r in docs.select("doc_id", syntax.text_vector(F.col("text")).alias("v")).collect()}
+    got = {r["doc_id"]: r["vector"] for r in vectors.collect()}
+    assert got == want and got[2] == [0.0] * 10 and got[0][1] == 0.75 and got[1][8] == 0.85
+
+
 def test_document_types_and_fit(spark):
     names = ["doc_id", "title", "source_name", "abstract", "landing_page_url", "doi", "referenced_work_count", "source_type", "provenance"]
     rows = [(1, None, "s", "a memo", None, None, 0, "memo", None), (2, "Annual report", None, "x", None, None, 0, None, None), (3, None, None, "plain", None, "10.1/x", 0, None, None), (4, None, None, "plain", "http://x", None, 0, None, None), (5, None, None, None, None, None, None, None, None), (6, None, None, "ministry data", None, None, 0, "report", None)]
