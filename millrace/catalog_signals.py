@@ -109,7 +109,8 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return evidence.claims(docs).join(docs.select("doc_id", "lang", F.lower("source").alias("fingerprint")), "doc_id")
+    said = evidence.claims(docs).select("doc_id", "stance", "sentence", "_tokens")
+    return said.join(docs.select("doc_id", "lang", F.lower("source").alias("fingerprint")), "doc_id")
 
 
 def corroboration_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,16 +23,21 @@ def near_shares(rows: DataFrame, by: list[str]) -> DataFrame:
     """``by, repetition``: the share of a group's pairs of claims whose token sets are nearly equal.
 
     Equal sets are counted once with their number, so a group of copies makes no pairs; different sets of one group meet only
-    by their rarest tokens (an exact prefix filter), so a common claim key is not compared with itself throughout.
+    by their rarest tokens (an exact prefix filter), so a common claim key is not compared with itself throughout. Groups of one set, which
+    are most, have no other to meet: only the rest are taken apart into tokens, under a number instead of their key. ``rows`` has the sorted ``terms``.
     """
-    sets = rows.select(F.struct(*by).alias("block"), F.sort_array(F.array_distinct("_tokens")).alias("terms")).groupBy("block", "terms").agg(F.count("*").alias("m"))
+    sets = rows.groupBy(*by, "terms").agg(F.count("*").alias("m")).select(F.struct(*by).alias("by"), "terms", "m")
     sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    apart = similar_pairs(sets.where("size(terms) > 0"), NEAR)
-    many = sets.select("block", F.col("id").alias("u"), F.col("m").alias("mu"))
-    near = apart.join(many, ["block", "u"]).join(many.select("block", F.col("u").alias("v"), F.col("mu").alias("mv")), ["block", "v"]).select("block", (F.col("mu") * F.col("mv")).alias("near"), F.lit(0).cast("long").alias("n"))
-    same = sets.select("block", F.when(F.size("terms") > 0, F.expr("m * (m - 1) div 2")).otherwise(0).cast("long").alias("near"), F.col("m").alias("n"))
-    totals = near.unionByName(same).groupBy("block").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
-    return totals.select("block.*", F.when(F.col("n") > 1, F.col("near") / F.expr("n * (n - 1) div 2")).otherwise(0.0).alias("repetition"))
+    same = F.when(F.size("terms") > 0, F.expr("m * (m - 1) div 2")).otherwise(0).cast("long")
+    blocks = sets.groupBy("by").agg(F.sum(same).alias("same"), F.sum("m").alias("n"), F.count("*").alias("sets"), F.min("id").alias("block"))
+    blocks = materialise(blocks, "blocks")
+    several = blocks.where("sets > 1").select("by", "block")
+    met = materialise(sets.where("size(terms) > 0").join(several, "by").select("block", "id", "terms", "m"), "met")
+    apart = similar_pairs(met, NEAR)
+    many = met.select("block", F.col("id").alias("u"), F.col("m").alias("mu"))
+    near = apart.join(many, ["block", "u"]).join(many.select("block", F.col("u").alias("v"), F.col("mu").alias("mv")), ["block", "v"]).groupBy("block").agg(F.sum(F.col("mu") * F.col("mv")).alias("near"))
+    totals = blocks.join(near, "block", "left").withColumn("near", F.col("same") + F.coalesce("near", F.lit(0)))
+    return totals.select("by.*", F.when(F.col("n") > 1, F.col("near") / F.expr("n * (n - 1) div 2")).otherwise(0.0).alias("repetition"))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -51,8 +56,11 @@ def by_query(keyed: DataFrame) -> DataFrame:
 def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     support = F.col("stance").isin(SUPPORTIVE)
     marked = T.any_of(F.col("sentence"), fixed.DEPENDENCE_MARKERS)
-    counted = rows.groupBy(*by).agg(F.count("*").alias("claims"), F.count_if(support).alias("support"), F.countDistinct(F.when(support, F.col("fingerprint"))).alias("independent"), F.count_if(F.col("stance") == "critical").alias("contradictions"), F.avg(marked.cast("int")).alias("markers"))
-    both = counted.join(near_shares(rows, by), by).withColumn("echoes", F.col("support") - F.col("independent"))
+    narrow = rows.select(*by, F.sort_array(F.array_distinct("_tokens")).alias("terms"), F.when(support, F.col("fingerprint")).alias("source"), support.alias("supports"), (F.col("stance") == "critical").alias("against"), marked.cast("int").alias("marked"))
+    # Written, as both the counts and the sets read it.
+    narrow = materialise(narrow, "claims")
+    counted = narrow.groupBy(*by).agg(F.count("*").alias("claims"), F.count_if("supports").alias("support"), F.countDistinct("source").alias("independent"), F.count_if("against").alias("contradictions"), F.avg("marked").alias("markers"))
+    both = counted.join(near_shares(narrow, by), by).withColumn("echoes", F.col("support") - F.col("independent"))
     w = fixed.ECHO_WEIGHTS
     risk = F.col("echoes") / F.col("claims") * w["dependence"] + (1.0 - F.col("independent") / F.col("claims")) * w["concentration"] + F.col("repetition") * w["repetition"] + F.col("markers") * w["markers"]
     both = both.withColumn("echo_risk", F.round(F.least(F.lit(1.0), risk), 6))

@@ -127,6 +127,25 @@ def test_corroboration_verdicts(spark):
     assert sorted(r["claims"] for r in got.values()) == [1, 2] and corroboration.groups(found.limit(0)).count() == 0
 
 
+def test_repetition_takes_apart_only_groups_of_several_sets(spark, monkeypatch):
+    """Pairs of nearly equal claims by brute force; a group with one set of tokens, however many claims have it, hands no tokens on."""
+    from millrace.operators import clustering
+
+    sets = [[f"k{g}", *(f"w{i}" for i in range(8 + v))] for g in range(3) for v in range(3) for _ in range(g + 1)] + [[f"alone{i % 40}", "other"] for i in range(120)]
+    sets += [["bare", *(f"x{v}{i}" for i in range(9))] for v in range(4)] + [[]] * 3
+    rows = [(t[0] if t else "empty", t) for t in sets]
+    want = {}
+    for key in {k for k, _ in rows}:
+        own = [set(t) for k, t in rows if k == key]
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        want[key] = sum(bool(a) and len(a & b) >= 0.72 * len(a | b) for a, b in pairs) / len(pairs) if pairs else 0.0
+    seen = []
+    monkeypatch.setattr(corroboration, "similar_pairs", lambda met, least: seen.append(met.count()) or clustering.similar_pairs(met, least))
+    found = spark.createDataFrame(rows, "claim_key string, terms array<string>")
+    got = {r["claim_key"]: r["repetition"] for r in corroboration.near_shares(found.withColumn("terms", F.sort_array("terms")), ["claim_key"]).collect()}
+    assert got == pytest.approx(want) and seen == [13]
+
+
 def test_chunk_dispatch(spark):
     text = "One two three. Four five six. Seven.\n\nEight nine."
     assert [c[1:] for c in chunking.chunk_text(text, "forum_comment", "thread_or_post_boundary", 2, 0)] == [(0, 2, False), (2, 3, False), (3, 5, False), (5, 6, False), (6, 7, True), (7, 9, True)]
