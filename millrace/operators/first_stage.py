@@ -13,6 +13,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +38,13 @@ def bucket(feature: str, dimensions: int = DIMENSIONS) -> int:
 
 def hashed_vector(words: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Unit vector of hashed terms (weight 1) and neighbouring pairs (0.65) of at least three characters each."""
-    out = np.zeros(dimensions)
-    for w in words:
-        if len(w) >= 3:
-            out[bucket("tok:" + w, dimensions)] += 1.0
-    for a, b in zip(words, words[1:]):
-        if len(a) >= 3 and len(b) >= 3:
-            out[bucket(f"bi:{a}_{b}", dimensions)] += 0.65
+    long = [len(w) >= 3 for w in words]
+    at = [bucket("tok:" + w, dimensions) for w, x in zip(words, long, strict=True) if x]
+    singles = len(at)
+    at += [bucket(f"bi:{a}_{b}", dimensions) for a, b, x, y in zip(words, words[1:], long, long[1:]) if x and y]
+    weights = np.full(len(at), 0.65)
+    weights[:singles] = 1.0
+    out = np.bincount(np.array(at, np.int64), weights, dimensions)
     norm = np.sqrt((out * out).sum())
     return out / norm if norm else out
 
@@ -86,6 +87,7 @@ class Block:
     def __init__(self, rows: list, frequency: dict[str, int], n_docs: int, mean_length: float, rarity: list[float]):
         self.ids = [r["query_id"] for r in rows]
         self.terms = {t: i for i, t in enumerate(sorted({w for r in rows for w in r["words"]}))}
+        self.known = pa.array(self.terms, pa.string())
         self.mean_length = mean_length
         self.idf = np.zeros((len(self.terms), len(rows)))
         self.focus = np.zeros((len(self.terms), len(rows)))
@@ -101,15 +103,19 @@ class Block:
         mass = targets.sum(1)
         self.syntax = (targets * (0.75 + 0.25 * np.array(rarity)) / np.where(mass > 0, mass, 1.0)[:, None]).T
 
-    def scores(self, words: list[list[str]], semantic: np.ndarray, vectors: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    def scores(self, words: pa.ListArray, semantic: np.ndarray, vectors: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Matrices of documents times queries; ``semantic`` has the documents' hashed vectors as rows."""
         out = {n: np.zeros((len(words), len(self.ids))) for n in ("lexical", "focus")}
-        for d, ws in enumerate(words):
-            found = [i for i in map(self.terms.get, ws) if i is not None]
-            if found:
-                at, tf = np.unique(found, return_counts=True)
-                weight = tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * len(ws) / self.mean_length))
-                out["lexical"][d], out["focus"][d] = weight @ self.idf[at], self.focus[at].sum(0)
+        lengths = np.diff(words.offsets.to_numpy())
+        # All words of the batch are looked up at once; few of them are a query's.
+        place = pc.fill_null(pc.index_in(words.flatten(), value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(place >= 0)
+        owner = np.repeat(np.arange(len(words)), lengths)[hit]
+        docs, starts = np.unique(owner, return_index=True)
+        for d, found in zip(docs.tolist(), np.split(place[hit], starts[1:]), strict=len(docs) > 0):
+            at, tf = np.unique(found, return_counts=True)
+            weight = tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * lengths[d] / self.mean_length))
+            out["lexical"][d], out["focus"][d] = weight @ self.idf[at], self.focus[at].sum(0)
         out["semantic"] = semantic @ self.semantic
         if vectors is not None:
             out["syntax"] = np.round(np.clip(vectors @ self.syntax, 0, 1), 6)
@@ -162,7 +168,7 @@ def group_candidates(rows: list, tokens: DataFrame, size, rarity: list[float], f
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
         for part in parts(batches):
-            words, vectors = part.column("words").to_pylist(), dense(part)
+            words, vectors = part.column("words"), dense(part)
             found = [block.scores(words, vectors) for block in sent.value]
             now = np.vstack([np.concatenate([f(s[n], axis=0) for s in found]) for n in ("lexical", "semantic") for f in (np.min, np.max)])
             seen = now if seen is None else np.vstack([f(seen[i], now[i]) for i, f in enumerate((np.minimum, np.maximum) * 2)])
@@ -177,7 +183,7 @@ def group_candidates(rows: list, tokens: DataFrame, size, rarity: list[float], f
         blocks = sent.value
         leading = [Leading(len(b.ids), k) for b in blocks]
         for part in parts(batches):
-            ids, words = part.column("doc_id").to_numpy(), part.column("words").to_pylist()
+            ids, words = part.column("doc_id").to_numpy(), part.column("words")
             vectors, wording = dense(part), np.array(part.column("vector").to_pylist())
             first = 0
             for block, lead in zip(blocks, leading, strict=True):

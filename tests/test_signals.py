@@ -94,6 +94,26 @@ def test_first_stage_by_brute_force(spark):
     assert first_stage.first_stage(queries, docs.limit(0), 4).count() == 0
 
 
+def test_query_words_are_looked_up_a_batch_at_once():
+    """Documents of a sliced batch, some empty, against scores added up word by word."""
+    import numpy as np
+    import pyarrow as pa
+
+    words = [["skipped"], ["solar", "risk", "solar", "roof"], [], ["court"], ["risk"] * 3]
+    queries = [{"query_id": 7, "words": ["solar", "risk"], "targets": [0.0] * 10}, {"query_id": 8, "words": ["roof", "roof", "unseen"], "targets": [0.0] * 10}]
+    block = first_stage.Block(queries, {"solar": 1, "risk": 2, "roof": 1}, 4, 2.0, [1.0] * 10)
+    batch = pa.array(words, pa.list_(pa.string())).slice(1)
+    got = block.scores(batch, np.zeros((4, first_stage.DIMENSIONS)))
+    idf = {"solar": math.log(1 + 3.5 / 1.5), "risk": math.log(1 + 2.5 / 2.5), "roof": math.log(1 + 3.5 / 1.5)}
+    for d, own in enumerate(words[1:]):
+        for q, r in enumerate(queries):
+            want = sum(idf[w] * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / 2.0)) for w in r["words"] if w in own)
+            assert got["lexical"][d, q] == pytest.approx(want)
+    assert got["focus"][0].tolist() == [1.0, 0.5] and not got["focus"][1].any()
+    none = block.scores(batch.slice(0, 0), np.zeros((0, first_stage.DIMENSIONS)))
+    assert none["lexical"].shape == (0, 2)
+
+
 def test_wording_reads_a_text_once(spark):
     """The ten categories share one list of tokens: it is made by one expression, and the values are those of the text alone."""
     texts = ["However the sample may show bias, 12% of it.", "Q: is it so?\nA: a loss means risk", None, "", "METHODS and Data, the İstanbul court held"]
