@@ -75,7 +75,9 @@ def source_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.near_duplicate_risk(retrieval.bm25_top_k(asked(spark, sf_dir), docs), docs)
+    tokens = retrieval.tokenised(docs)
+    top = materialise(retrieval.bm25_top_k(asked(spark, sf_dir), docs, tokens=tokens), "top")
+    return retrieval.near_duplicate_risk(top, docs, tokens=tokens)
 
 
 def parent_cap_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:

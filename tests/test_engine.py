@@ -230,6 +230,15 @@ def test_conflicts_shuffle_no_pairs(spark):
     assert len(rows) == 100 * 100 and {r["shared_tokens"] for r in rows} == {",".join(sorted(words))}
 
 
+def test_near_duplicate_risk_takes_no_text_apart_again(spark):
+    docs = spark.createDataFrame([(1, "panels cut prices"), (2, "panels cut prices"), (3, "courts hold hearings")], "doc_id long, text string")
+    ranked = spark.createDataFrame([(9, d) for d in (1, 2, 3)], "query_id long, doc_id long")
+    tokens = retrieval.tokenised(docs)
+    found = retrieval.near_duplicate_risk(ranked, docs, tokens=tokens)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(9, 3, 0.333333)] == [tuple(r) for r in retrieval.near_duplicate_risk(ranked, docs).collect()]
+
+
 def test_scratch_tables_go_but_for_the_last(spark):
     from pathlib import Path
 
