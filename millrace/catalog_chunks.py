@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from .functions import fixed
 from .functions.storage import materialise
-from .operators import chunk_evaluation
+from .operators import chunk_evaluation, evidence
 from .oracles import ROUGH, contains_any, pattern
 
 SIZE = 60
 #: A sentence with one of these is evidence that a chunk should hold whole.
 EVIDENCE = ["evidence", "found", "show", "result", "percent", "sample", "because"]
-UNSAFE = [p for ps in (fixed.SAFETY_PATTERNS["instruction_override"], fixed.SAFETY_PATTERNS["exfiltration"]) for p in ps]
+UNSAFE = ["instruction_override", "exfiltration"]
+UNSAFE_PATTERNS = [p for name in UNSAFE for p in fixed.SAFETY_PATTERNS[name]]
 
 
 def _evaluated(spark: SparkSession, sf_dir: str, sequential: bool) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sentences = materialise(chunk_evaluation.sentence_spans(docs), "sentences")
     low = F.lower("text")
     must = F.greatest(*[low.contains(w) for w in EVIDENCE]) | (F.pmod(F.col("position"), F.lit(10)) == 9)
-    unsafe = low.rlike("(?s)" + "|".join(f"(?:{p})" for p in UNSAFE))
-    gold = materialise(chunk_evaluation.gold_spans(sentences, must, unsafe), "gold")
-    return chunk_evaluation.report(chunk_evaluation.variants(docs, SIZE, sequential), sentences, gold)
+    marks = {"must": must, "unsafe": evidence.matches(low, UNSAFE)}
+    sentences = materialise(chunk_evaluation.sentence_spans(docs, marks), "sentences")
+    gold = chunk_evaluation.gold_spans(sentences, F.col("must"), F.col("unsafe"))
+    return chunk_evaluation.report(chunk_evaluation.variants(docs, SIZE, sequential, sentences), sentences, gold)
 
 
 def chunk_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ chunk AS (SELECT variant, doc_id, (a + k * {SIZE})::BIGINT AS s, least(a + k * {
 ORACLE_SQL = {
     "chunk_variant_sizes": f"WITH {SPANS} SELECT variant, doc_id, count(*) AS chunks, sum(e - s)::BIGINT AS tokens, max(e - s) AS longest FROM chunk GROUP BY ALL",
     "chunk_evaluation_report": f"""WITH {SPANS},
-g0 AS (SELECT doc_id, a, b, {contains_any('text', EVIDENCE)} OR position % 10 = 9 AS must, regexp_matches(lower(text), '(?s){'|'.join('(?:' + pattern(p) + ')' for p in UNSAFE)}') AS unsafe FROM sent),
+g0 AS (SELECT doc_id, a, b, {contains_any('text', EVIDENCE)} OR position % 10 = 9 AS must, regexp_matches(lower(text), '(?s){'|'.join('(?:' + pattern(p) + ')' for p in UNSAFE_PATTERNS)}') AS unsafe FROM sent),
 gold AS (SELECT doc_id, a, b, unsafe FROM g0 WHERE must OR unsafe),
 al AS (SELECT variant, count(*) AS chunks, round(avg(e - s), 6) AS mean_tokens, round(count(*) FILTER (x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL) / count(*), 6) AS boundary_precision FROM chunk c LEFT JOIN sent x ON x.doc_id = c.doc_id AND x.a = s LEFT JOIN sent y ON y.doc_id = c.doc_id AND y.b = e GROUP BY variant),
 met AS (SELECT variant, g.doc_id, a, b, unsafe, count(*) AS pieces, bool_or(s <= a AND b <= e) AS kept, count(*) FILTER (s <= a AND b <= e AND e - s - (b - a) > {chunk_evaluation.OUTSIDE_WORDS}) AS dirty FROM chunk c JOIN gold g ON c.doc_id = g.doc_id AND s < b AND a < e GROUP BY ALL),

@@ -43,6 +43,14 @@ def _may_match(low: Column, category: str) -> Column:
     return some
 
 
+def matches(low: Column, categories: list[str]) -> Column:
+    """Whether a text in lower case matches a pattern of one of the safety categories."""
+    found = F.lit(False)
+    for name in categories:
+        found = found | F.when(_may_match(low, name), low.rlike("(?s)" + "|".join(f"(?:{p})" for p in fixed.SAFETY_PATTERNS[name]))).otherwise(False)
+    return found
+
+
 def safety_scan(rows: DataFrame, text: str, risky: bool = False) -> DataFrame:
     """Add ``categories`` (sorted), ``risk_score`` and ``decision``."""
     raw = F.coalesce(F.col(text), F.lit(""))
