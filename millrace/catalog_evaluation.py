@@ -187,7 +187,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = retrieval.tokenised(docs)
     top = materialise(retrieval.bm25_top_k(queries, docs, tokens=tokens), "top")
     overlap = retrieval.overlap_scores(queries, top, docs, tokens)
-    rows = top.join(overlap, ["query_id", "doc_id"]).join(evidence.chunk_signals(docs), "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    wanted = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = top.join(overlap, ["query_id", "doc_id"]).join(evidence.chunk_signals(wanted), "doc_id").join(wanted.select("doc_id", "source"), "doc_id")
     return rows.withColumn("relevance", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6))
 
 

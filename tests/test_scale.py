@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import chunk_evaluation, chunking, evidence
+from millrace.operators import chunk_evaluation, chunking, evidence, retrieval
 
 
 def plan(df):
@@ -34,3 +34,26 @@ def test_gated_patterns_match_as_the_patterns_alone(spark):
     plain = "(?s)" + "|".join(f"(?:{p})" for n in names for p in evidence.fixed.SAFETY_PATTERNS[n])
     low = F.lower(F.coalesce("text", F.lit("")))
     assert all(r[0] == r[1] for r in rows.select(evidence.matches(low, names), low.rlike(plain)).collect())
+
+
+def test_bm25_lists_are_the_same_from_matrices_and_from_pairs(spark):
+    words = ["river", "stone", "cloud", "field", "north", "amber", "quiet", "lantern"]
+    texts = [" ".join(words[(i * j + j) % 8] for j in range(1, 3 + i % 7)) for i in range(60)] + ["", None, "nothing shared here", *["river stone"] * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    queries = spark.createDataFrame([(q, f"{words[q % 8]} {words[q % 3]} {words[q % 3]} absent{q}") for q in range(12)] + [(12, ""), (13, None), (14, "unknown")], "query_id int, text string")
+    tokens = retrieval.tokenised(docs)
+    pairs = sorted(map(tuple, retrieval.bm25_top_k(queries, docs, 4, tokens, most=0).collect()))
+    for size in (64 << 20, 100):  # all queries at once, and few at a time
+        found = retrieval.bm25_top_k(queries, docs, 4, tokens, block_bytes=size)
+        assert sorted(map(tuple, found.collect())) == pairs and found.dtypes == [("query_id", "int"), ("doc_id", "int"), ("score", "double"), ("rank", "int")]
+    assert len(pairs) == 48 and retrieval.bm25_top_k(queries.where("query_id > 11"), docs, 4, tokens).count() == 0
+    assert "Exchange" not in plan(retrieval.scanned(retrieval.query_terms(queries), tokens, 4, 64 << 20))
+
+
+def test_overlap_brings_candidates_to_the_words(spark):
+    docs = spark.createDataFrame([(1, "river river stone"), (2, "cloud"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "river stone river field"), (8, "")], "query_id long, text string")
+    candidates = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (8, 1)], "query_id long, doc_id long")
+    found = retrieval.overlap_scores(queries, candidates, docs)
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 0.666667), (7, 2, 0.0), (7, 3, 0.0), (8, 1, 0.0)]
+    assert "Exchange hashpartitioning(doc_id" not in plan(found)
