@@ -276,3 +276,53 @@ def test_short_lines_are_compared_like_long_ones(spark):
     texts = ["abcdefghijklmnopqrs\nabcd\nab", "abcdefghijklmnopqrt\nabce\nab"]
     got = {r["doc_id"]: r["dropped"] for r in lines.line_report(table(spark, list(enumerate(texts)))).collect()}
     assert got == {0: "", 1: "0,2"}
+
+
+def test_lines_take_no_python_and_fold_space_as_python_does(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import lines
+
+    odd = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+    texts = [f" One{a}{b}Two{b} \n{a}\n\nthree  four{b}" for a, b in zip(odd, odd[1:] + " ", strict=True)] + ["", "\n", " a \n b ", "Ünï Cödé  x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["x"] for r in df.select("doc_id", lines.normal_lines(F.col("text")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[" ".join(line.lower().split()) for line in t.split("\n")] for t in texts]
+    plan = lines.line_report(table(spark, list(enumerate(texts))))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_lines_of_all_kinds_meet(spark):
+    from millrace.llm import lines
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    spaced = " ".join(word() for _ in range(40))
+    run = "".join(rng.choice("abcdefghijklmnop") for _ in range(300))
+    ideographs = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(120))
+    long_line = " ".join(word() for _ in range(3000))
+    # Without spaces, of another script, repeated characters and phrases, a part moved, one that is long, one by a character longer.
+    pairs = [(run, run[:150] + "z" + run[151:]), (ideographs, ideographs[:60] + "x" + ideographs[61:]), ("-" * 6, "-" * 90), ("=" * 50, "=" * 70), ("ab c " * 9, "ab c " * 40), (spaced, spaced[100:] + " " + spaced[:99]), (long_line, long_line[:9000] + "zz" + long_line[9003:]), ("hello wo", "hello wor")]
+    rows = [(i, line) for i, line in enumerate(x for pair in pairs for x in pair)]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.line_report(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [0, 1] * len(pairs)
+
+
+def test_lines_that_share_a_passage_alone_make_few_pairs(spark, monkeypatch):
+    from millrace.llm import lines
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    passage = words(20)
+    rows = [(i, f"{words(30)} {passage} {words(30)}") for i in range(300)]
+    made = {}
+    write = lines.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialise", counted)
+    assert all(r["n_dropped"] == 0 for r in lines.line_report(table(spark, rows)).collect())
+    assert sum(made["near"]) == 0 and max(made["pairs"]) < 40 * len(rows)
