@@ -57,3 +57,32 @@ def test_overlap_brings_candidates_to_the_words(spark):
     found = retrieval.overlap_scores(queries, candidates, docs)
     assert sorted(map(tuple, found.collect())) == [(7, 1, 0.666667), (7, 2, 0.0), (7, 3, 0.0), (8, 1, 0.0)]
     assert "Exchange hashpartitioning(doc_id" not in plan(found)
+
+
+def test_alignment_by_pairs_in_passes_and_by_first_sentences(spark, monkeypatch):
+    from millrace.operators import grounding
+
+    words = ["river", "stone", "cloud", "field", "north", "amber", "quiet", "lantern", "meadow", "copper"]
+    told = [" ".join(words[(i * j + i) % 10] for j in range(1, 4 + i % 6)) for i in range(80)]
+    asked = [(i, " ".join(words[(i + 3 * j) % 10] for j in range(1 + i % 6))) for i in range(40)] + [(40, "absent"), (41, "")]
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    write, met = grounding.materialise, {}
+
+    def counted(df, name):
+        met.setdefault(name, []).append(write(df, name))
+        return met[name][-1]
+
+    monkeypatch.setattr(grounding, "materialise", counted)
+    want = []
+    for i, s in asked:
+        q = set(s.split())
+        shares = [(-round(len(q & set(t.split())) / len(q), 6), d) for d, t in enumerate(told) if q and len(q & set(t.split())) >= 0.8 * len(q)]
+        want.append((i, len(q), *((min(shares)[1], 0, -min(shares)[0]) if shares else (None, None, None))))
+    for most in (8, 1):
+        monkeypatch.setattr(grounding, "PASS_PAIRS", most)
+        met.clear()
+        rows = grounding.aligned(spark.createDataFrame(asked, "id long, sentence string"), docs, ["id"]).collect()
+        assert sorted(map(tuple, rows), key=lambda r: r[0]) == want
+        assert len(met["found"]) > (most == 1)
+        single = met["wanted"][0].where("size(_words) = 1").select("asked")
+        assert single.count() > 1 and met["pairs"][0].join(single, "asked").count() == 0
